@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import fingerprints, language_id, secret_scan, sharding, simhash_dedup, toxicity, url_filter
+from textloom.llm import decontamination, fingerprints, language_id, secret_scan, sharding, simhash_dedup, toxicity, url_filter
 from textloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.score_urls(table(spark, sf_dir, "pages"), url_filter.train())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op6_toxicity": op6_toxicity,
     "op8_simhash_dedup": op8_simhash_dedup,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.oracle(),
     "op2_url_filter": url_filter.oracle(),
+    "op3_decontamination": decontamination.oracle(),
     "op4_sharding": sharding.oracle(),
 }
