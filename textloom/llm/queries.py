@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontamination, fingerprints, language_id, secret_scan, sharding, simhash_dedup, toxicity, url_filter
+from textloom.llm import bpe, decontamination, fingerprints, language_id, secret_scan, sharding, simhash_dedup, toxicity, url_filter
 from textloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op6_toxicity": op6_toxicity,
+    "op7_bpe": op7_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
