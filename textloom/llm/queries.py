@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, decontamination, fingerprints, language_id, secret_scan, sharding, simhash_dedup, toxicity, url_filter
+from textloom.llm import bpe, decontamination, fingerprints, language_id, pii, secret_scan, sharding, simhash_dedup, toxicity, url_filter
 from textloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), pii.train())
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
