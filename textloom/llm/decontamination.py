@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from math import ceil
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,8 +191,6 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
     A text without a span is returned as it is, a null one as null. Rows are treated one by one, so ids don't matter.
     """
-    import pandas as pd
-
     sc = docs.sparkSession.sparkContext
     held = [sc.broadcast(a) for a in automata(benchmark, **limits)]
     if not held:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -401,8 +402,6 @@ def find_pii(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: s
 
 def mask_pii(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
     """docs with [kind] in place of each span in text_col. No row goes; null and clean texts stay as they are."""
-    import pandas as pd
-
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

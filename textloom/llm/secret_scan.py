@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,8 +191,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Only texts that may hold a candidate are searched in Python, inside one Arrow function; other columns never leave the JVM.
     """
-    import pandas as pd
-
     text = F.col(f"`{text_col}`").cast("string")
 
     @F.pandas_udf("string")

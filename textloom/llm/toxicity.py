@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,8 +186,6 @@ def toxic_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that are rejected. Each row is judged by its own text, so ids may be null or repeated. No join, no shuffle."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
         out = []
