@@ -1,44 +1,10 @@
-"""The registered queries of the library's own operators and their DuckDB counterparts."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from textloom.plans import annotation, corpus, exports, pages, quality, relational, streams, text, warehouse  # noqa: F401
+from textloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "pricing_summary"
 
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def add(f):
-        if name in QUERIES:
-            raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n_lines
-    FROM lineitem GROUP BY l_returnflag, l_linestatus""",
-)
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n_lines"))
-    )
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
