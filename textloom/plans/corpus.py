@@ -1 +1,121 @@
-"""Queries to come."""
+"""Queries of corpus statistics and duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import lexicons as L
+from textloom.functions import text as T
+from textloom.operators import analytics as A
+from textloom.operators import similarity as S
+from textloom.plans.registry import query, table
+from textloom.plans.text import RAW_SQL, SENTENCES_SQL, TOKENS_SQL
+
+WORDS_SQL = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))"
+KEYWORDS_SQL = f"list_filter({TOKENS_SQL}, lambda w: length(w) BETWEEN 3 AND 50 AND w NOT IN {L.STOPWORDS})"
+KEY_SQL = f"md5({T.rewrite_sql('lower(text)', T.DUPLICATE_KEY)})"
+STATISTICS_SQL = f"""SELECT lang, count(*) AS docs, sum(len(w))::BIGINT AS words, sum(chars)::BIGINT AS chars, sum(len(s))::BIGINT AS sentences, min(len(w))::INT AS least, max(len(w))::INT AS most, round(avg(len(w)), 6) AS mean, median(len(w)) AS median,
+    round(least(greatest(206.835 - 1.015 * sum(len(w)) / sum(len(s)) - 84.6 * sum(list_sum(list_transform(w, lambda x: greatest(length(x) - length(regexp_replace(x, '[aeiou]', '', 'g')), 1)))) / sum(len(w)), 0), 100), 4) AS flesch
+    FROM (SELECT lang, length(text) AS chars, {WORDS_SQL} AS w, {SENTENCES_SQL} AS s FROM @SOURCE) GROUP BY lang"""
+
+
+@query("corpus_statistics", STATISTICS_SQL.replace("@SOURCE", "documents"))
+def corpus_statistics(spark, sf):
+    return A.corpus_statistics(table(spark, sf, "documents"), ["lang"])
+
+
+@query("corpus_summary_by_lang", STATISTICS_SQL.replace("@SOURCE", f"(SELECT text, lang FROM documents WHERE length(trim(text)) >= 50 QUALIFY row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY doc_id) = 1)"))
+def corpus_summary_by_lang(spark, sf):
+    """The flagship: short texts and exact copies go, the rest is summed up by language."""
+    docs = table(spark, sf, "documents")
+    copies = S.exact_groups(docs).select(F.col("id").alias("doc_id"))
+    return A.corpus_statistics(docs.where(F.length(F.trim("text")) >= 50).join(copies, "doc_id", "left_anti"), ["lang"])
+
+
+@query("vocabulary", f"SELECT word, sum(n)::BIGINT AS n, count(*) AS df FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS word FROM documents) GROUP BY ALL) GROUP BY word")
+def vocabulary(spark, sf):
+    return A.vocabulary(table(spark, sf, "documents"))
+
+
+FREQUENCY_SQL = f"SELECT word, count(*) AS frequency FROM (SELECT unnest({KEYWORDS_SQL}) AS word FROM documents) GROUP BY word ORDER BY frequency DESC, word LIMIT 50"
+TFIDF_SQL = f"""SELECT word, sum(c)::BIGINT AS frequency, round(sum(c / size) * ln((SELECT count(*) FROM documents)::DOUBLE / count(*)), 6) AS score
+    FROM (SELECT doc_id, word, size, count(*) AS c FROM (SELECT doc_id, len(k) AS size, unnest(k) AS word FROM (SELECT doc_id, {KEYWORDS_SQL} AS k FROM documents)) GROUP BY ALL) GROUP BY word"""
+
+
+@query("keywords_frequency", FREQUENCY_SQL)
+def keywords_frequency(spark, sf):
+    return A.keywords_frequency(table(spark, sf, "documents"))
+
+
+@query("keywords_tfidf", f"{TFIDF_SQL} ORDER BY score DESC, word LIMIT 50")
+def keywords_tfidf(spark, sf):
+    return A.keywords_tfidf(table(spark, sf, "documents"))
+
+
+@query("keywords_combined", f"""WITH a AS ({TFIDF_SQL} ORDER BY score DESC, word LIMIT 50), b AS ({FREQUENCY_SQL})
+    SELECT word, coalesce(a.frequency, b.frequency) AS frequency, round(0.7 * coalesce(score / (SELECT max(score) FROM a), 0) + 0.3 * coalesce(b.frequency / (SELECT max(frequency) FROM b), 0), 6) AS score FROM a FULL JOIN b USING (word)""")
+def keywords_combined(spark, sf):
+    return A.keywords_combined(table(spark, sf, "documents"))
+
+
+@query("word_lengths", f"SELECT length(w)::INT AS length, count(*) AS n FROM (SELECT unnest({TOKENS_SQL}) AS w FROM documents) GROUP BY ALL")
+def word_lengths(spark, sf):
+    return A.word_lengths(table(spark, sf, "documents"))
+
+
+@query("language_distribution", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM documents GROUP BY lang")
+def language_distribution(spark, sf):
+    return A.distribution(table(spark, sf, "documents"), "lang")
+
+
+@query("source_diversity", "SELECT count(*) AS kinds, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT count(*) / (SELECT count(*) FROM documents)::DOUBLE AS p FROM documents GROUP BY source)")
+def source_diversity(spark, sf):
+    return A.diversity(table(spark, sf, "documents"), "source")
+
+
+@query("topics_simple", f"""SELECT ((row_number() OVER (ORDER BY n DESC, word) - 1) // 5)::BIGINT AS topic, word, n FROM (SELECT word, sum(c)::BIGINT AS n FROM (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS word FROM documents)
+    WHERE length(word) BETWEEN 3 AND 50 AND word NOT IN {L.TOPIC_STOPWORDS} GROUP BY ALL HAVING count(*) >= 2) GROUP BY word ORDER BY n DESC, word LIMIT 25)""")
+def topics_simple(spark, sf):
+    return A.topic_words(table(spark, sf, "documents"))
+
+
+@query("topics_lda")
+def topics_lda(spark, sf):
+    return A.topics_lda(table(spark, sf, "documents"))
+
+
+@query("document_statistics", f"""SELECT doc_id, length(text) AS chars, len(w) AS words, len(list_distinct(w)) AS distinct_words, len(s) AS sentences, round(len(list_distinct(w)) / nullif(len(w), 0), 6) AS richness FROM (SELECT doc_id, text, {TOKENS_SQL} AS w, {SENTENCES_SQL} AS s FROM documents)""")
+def document_statistics(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w"), T.sentences(F.col("text")).alias("s"))
+    unique = F.size(F.array_distinct("w"))
+    return d.select("doc_id", F.length("text").cast("long").alias("chars"), F.size("w").cast("long").alias("words"), unique.cast("long").alias("distinct_words"), F.size("s").cast("long").alias("sentences"), F.round(F.try_divide(unique, F.size("w")), 6).alias("richness"))
+
+
+@query("dedup_exact", f"SELECT doc_id AS id, rep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {KEY_SQL}) AS rep_id FROM documents WHERE length(trim(text)) >= 50) WHERE doc_id <> rep_id")
+def dedup_exact(spark, sf):
+    return S.exact_groups(table(spark, sf, "documents"))
+
+
+PAIRS_SQL = f"""s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM s),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+
+
+@query("similar_pairs", f"WITH {PAIRS_SQL} SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM i WHERE k / (na + nb - k) >= 0.7")
+def similar_pairs(spark, sf):
+    return S.similar_pairs(table(spark, sf, "documents"), 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("nearest_similarity", f"""WITH {PAIRS_SQL}, p AS (SELECT a, b, k / (na + nb - k) AS s FROM i WHERE k / (na + nb - k) >= 0.5), q AS (SELECT a, s FROM p UNION ALL SELECT b, s FROM p)
+    SELECT doc_id AS id, round(coalesce(max(s), 0), 6) AS similarity, count(*) FILTER (WHERE s > 0.7) AS similar FROM documents LEFT JOIN q ON doc_id = a GROUP BY doc_id""")
+def nearest_similarity(spark, sf):
+    return S.nearest(table(spark, sf, "documents")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("dedup_staged")
+def dedup_staged(spark, sf):
+    return S.deduplicate(table(spark, sf, "documents")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("dedup_statistics")
+def dedup_statistics(spark, sf):
+    return S.statistics(S.deduplicate(table(spark, sf, "documents")))
