@@ -33,7 +33,8 @@ def language(text: Column) -> Column:
     w, s = words(text), script(text)
     n = F.size(w)
     bonus = {"ru": "cyrillic", "ar": "arabic", "zh": "chinese", "ja": "japanese"}
-    scores = [(k, F.size(F.filter(w, lambda x, v=v: x.isin(*v.split()))) + (F.when(s == bonus[k], n * 0.1).otherwise(0) if k in bonus else 0)) for k, v in L.LANGUAGE_WORDS.items()]
+    common = lambda v: F.size(F.filter(w, lambda x: x.isin(*v.split())))
+    scores = [(k, common(v) + (F.when(s == bonus[k], n * 0.1).otherwise(0) if k in bonus else 0)) for k, v in L.LANGUAGE_WORDS.items()]
     best = first_best([*scores, ("ko", F.when(s == "korean", n * 0.1).otherwise(0))])
     none = F.when(s == "latin", F.struct(F.lit("en").alias("language"), F.lit(0.3).alias("confidence"))).otherwise(F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence")))
     found = F.struct(best["name"].alias("language"), F.least(F.lit(1.0), best["score"] / n).alias("confidence"))
@@ -115,7 +116,11 @@ ENTITIES = {"URL": T.PII_KINDS["url"], "EMAIL": T.PII_KINDS["email"], "MONEY": r
 
 def entities(text: Column, patterns: dict[str, str] = ENTITIES, confidence: float = 0.8, most: int = 100) -> Column:
     """array of (label, text, confidence) of the patterns' matches, most at most as the annotation's own limit."""
-    per = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x, k=k: F.struct(F.lit(k).alias("label"), x.alias("text"), F.lit(confidence).alias("confidence"))) for k, p in patterns.items()]
+
+    def of(label: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(label).alias("label"), x.alias("text"), F.lit(confidence).alias("confidence")))
+
+    per = [of(k, p) for k, p in patterns.items()]
     return F.slice(F.concat(*per), 1, most)
 
 
