@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
+from textloom.functions.text import let
 
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -23,23 +24,39 @@ def first_best(scores: list[tuple[str, Column]]) -> Column:
 
 
 def script(text: Column) -> Column:
-    """The script with the most characters; null where no script has any."""
-    best = first_best([(name, F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))) for name, chars in L.SCRIPTS.items()])
-    return F.when(best["score"] > 0, best["name"])
+    """The script with the most characters; null where no script has any. All but latin lie outside ASCII, so only what is there is searched for them."""
+
+    def count(t: Column, chars: str) -> Column:
+        return F.length(t) - F.length(F.regexp_replace(t, f"[{chars}]", ""))
+
+    def pick(rest: Column) -> Column:
+        scores = [(name, count(text if name == "latin" else rest, chars)) for name, chars in L.SCRIPTS.items()]
+        return let(first_best(scores), lambda best: F.when(best["score"] > 0, best["name"]))
+
+    return let(F.regexp_replace(text, r"[\x00-\x7F]+", ""), pick)
 
 
 def language(text: Column) -> Column:
     """struct(language, confidence, script) by common words, with a bonus of a tenth of the words for a script of its own."""
-    w, s = words(text), script(text)
-    n = F.size(w)
     bonus = {"ru": "cyrillic", "ar": "arabic", "zh": "chinese", "ja": "japanese"}
-    common = lambda v: F.size(F.filter(w, lambda x: x.isin(*v.split())))
-    scores = [(k, common(v) + (F.when(s == bonus[k], n * 0.1).otherwise(0) if k in bonus else 0)) for k, v in L.LANGUAGE_WORDS.items()]
-    best = first_best([*scores, ("ko", F.when(s == "korean", n * 0.1).otherwise(0))])
-    none = F.when(s == "latin", F.struct(F.lit("en").alias("language"), F.lit(0.3).alias("confidence"))).otherwise(F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence")))
-    found = F.struct(best["name"].alias("language"), F.least(F.lit(1.0), best["score"] / n).alias("confidence"))
-    got = F.when(n == 0, F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"))).when(best["score"] > 0, found).otherwise(none)
-    return F.struct(got["language"].alias("language"), F.round(got["confidence"], 6).alias("confidence"), s.alias("script"))
+
+    def result(code: Column, confidence: Column) -> Column:
+        return F.struct(code.alias("language"), F.round(confidence, 6).alias("confidence"))
+
+    def found(x: Column) -> Column:
+        w, s = x["w"], x["s"]
+        n = F.size(w)
+
+        def common(words: str) -> Column:
+            return F.size(F.filter(w, lambda y: y.isin(*words.split())))
+
+        scores = [(k, common(v) + (F.when(s == bonus[k], n * 0.1).otherwise(0) if k in bonus else 0)) for k, v in L.LANGUAGE_WORDS.items()]
+        none = F.when(s == "latin", result(F.lit("en"), F.lit(0.3))).otherwise(result(F.lit("unknown"), F.lit(0.0)))
+        of_words = let(first_best([*scores, ("ko", F.when(s == "korean", n * 0.1).otherwise(0))]), lambda b: F.when(b["score"] > 0, result(b["name"], F.least(F.lit(1.0), b["score"] / n))).otherwise(none))
+        got = F.when(n == 0, result(F.lit("unknown"), F.lit(0.0))).otherwise(of_words)
+        return let(got, lambda g: F.struct(g["language"].alias("language"), g["confidence"].alias("confidence"), s.alias("script")))
+
+    return let(F.struct(words(text).alias("w"), script(text).alias("s")), found)
 
 
 def reliable(found: Column, allowed: tuple[str, ...] | None = None, least: float = 0.7) -> Column:
@@ -57,7 +74,10 @@ def in_map(word: Column, values: dict[str, float], other: float) -> Column:
 
 def sentiment(text: Column) -> Column:
     """struct(polarity, subjectivity, confidence, emotion): words of a lexicon, turned by a negation one or two words before and scaled by an intensifier."""
-    w = T.tokens(text, 1)
+    return let(T.tokens(text, 1), _sentiment)
+
+
+def _sentiment(w: Column) -> Column:
     at = lambda i, k: F.coalesce(F.try_element_at(w, i + 1 - k), F.lit(""))
 
     def score(x: Column, i: Column) -> Column:
@@ -69,12 +89,19 @@ def sentiment(text: Column) -> Column:
 
     known = sorted({*L.POSITIVE, *L.NEGATIVE, *L.EMOTIONS})
     scored = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*known), score(x, i))), lambda x: x.isNotNull())
-    n = F.greatest(F.size(w), F.lit(1))
+    return let(F.struct(scored.alias("x"), F.greatest(F.size(w), F.lit(1)).alias("n")), lambda v: _emotion(v["x"], v["n"]))
+
+
+def _emotion(scored: Column, n: Column) -> Column:
     up = F.aggregate(scored, F.lit(0.0), lambda a, x: a + F.greatest(x["s"], F.lit(0.0))) / n
     down = F.aggregate(scored, F.lit(0.0), lambda a, x: a + F.greatest(-x["s"], F.lit(0.0))) / n
     of = lambda e: F.filter(scored, lambda x: x["e"] == e)
     names = sorted(set(L.EMOTIONS.values()))
     best = F.array_max(F.array_compact(F.array(*(F.when(F.size(of(e)) > 0, F.struct(F.aggregate(of(e), F.lit(0.0), lambda a, x: a + F.abs(x["s"])).alias("s"), F.lit(-k).alias("rank"), F.lit(e).alias("e"))) for k, e in enumerate(names)))))
+    return let(F.struct(up.alias("up"), down.alias("down"), best.alias("best")), lambda v: _scores(v["up"], v["down"], v["best"]))
+
+
+def _scores(up: Column, down: Column, best: Column) -> Column:
     polarity, subjectivity = up - down, F.least(F.lit(1.0), up + down)
     emotion = F.coalesce(best["e"], F.when(polarity > 0.1, "joy").when(polarity < -0.1, "sadness").otherwise("neutral"))
     return F.struct(F.round(polarity, 6).alias("polarity"), F.round(subjectivity, 6).alias("subjectivity"), F.round(F.least(F.lit(1.0), F.abs(polarity) + 0.5 * subjectivity), 6).alias("confidence"), emotion.alias("emotion"))
@@ -88,8 +115,11 @@ def domain(text: Column, taxonomy: dict = L.TAXONOMY, least: float = 0.3) -> Col
     """struct(domain, confidence): occurrences of keywords and twice those of patterns, ten times their share of the words; below least uncategorized."""
     low = F.lower(text)
     scores = [(d, sum((occurrences(low, k) for k in keys), F.lit(0)) + 2 * F.size(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{p})\b"), F.lit(0)))) for d, (keys, p) in taxonomy.items()]
-    best = first_best(scores)
-    confidence = F.least(F.lit(1.0), 10 * best["score"] / F.greatest(F.size(T.raw_tokens(text)), F.lit(1)))
+    share = lambda best: F.least(F.lit(1.0), 10 * best["score"] / F.greatest(F.size(T.raw_tokens(text)), F.lit(1)))
+    return let(F.struct(first_best(scores).alias("best")), lambda v: let(share(v["best"]), lambda c: _domain(v["best"], c, least)))
+
+
+def _domain(best: Column, confidence: Column, least: float) -> Column:
     return F.struct(F.when((best["score"] > 0) & (confidence >= least), best["name"]).otherwise("uncategorized").alias("domain"), F.round(confidence, 6).alias("confidence"))
 
 

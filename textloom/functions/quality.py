@@ -99,13 +99,19 @@ def coherence_score(text: Column) -> Column:
 
 def sentence_variance(text: Column) -> Column:
     """Population variance of the sentences' words; null without a sentence."""
-    n = F.transform(T.sentences(text), lambda s: F.size(T.raw_tokens(s)))
+    return T.let(F.transform(T.sentences(text), lambda s: F.size(T.raw_tokens(s))), _variance)
+
+
+def _variance(n: Column) -> Column:
     sums = F.aggregate(n, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["k"] + 1).alias("k"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     return F.when(F.size(n) > 0, sums["q"] / sums["k"] - (sums["s"] / sums["k"]) * (sums["s"] / sums["k"]))
 
 
 def readability_score(text: Column) -> Column:
-    words, sentences = T.raw_tokens(text), F.size(T.sentences(text))
+    return T.let(T.raw_tokens(text), lambda words: T.let(F.size(T.sentences(text)), lambda sentences: _readability(words, sentences)))
+
+
+def _readability(words: Column, sentences: Column) -> Column:
     n = F.size(words)
     syllables = F.aggregate(words, F.lit(0), lambda s, w: s + F.greatest(F.length(w) - F.length(F.regexp_replace(w, "[aeiouAEIOU]", "")), F.lit(1)))
     flesch = 206.835 - 1.015 * n / sentences - 84.6 * syllables / n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +51,11 @@ EMOJI = "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f
 DUPLICATE_KEY: Rules = [(r"\s+", " "), (r"^ +| +$", ""), (r"[^\p{L}\p{N}_\s]", "")]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it; subexpressions inside conditions and lambdas aren't shared otherwise."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 def rewrite(text: Column, rules: Rules) -> Column:
     for pattern, to in rules:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
@@ -90,14 +95,19 @@ def unicode_form(form: str = "NFKC"):
 
 def normalise(text: Column, form: str | None = "NFKC") -> Column:
     """struct(text, corrections, score): the Unicode form, control characters, quotes and white space, with the names of the steps that changed something."""
-    steps, now = [], text
-    for name, f in (("unicode", unicode_form(form) if form else None), ("control", lambda c: rewrite(c, CONTROL)), ("quotes", smart_quotes), ("whitespace", whitespace)):
-        if f:
-            after = f(now)
-            steps.append(F.when(after != now, F.lit(name)))
-            now = after
-    change = F.abs(F.length(now) - F.length(text)) / F.greatest(F.length(text), F.lit(1))
-    return F.struct(now.alias("text"), F.array_compact(F.array(*steps)).alias("corrections"), F.greatest(F.lit(0.5), 1 - 0.5 * change).alias("score"))
+    steps = [("control", lambda c: rewrite(c, CONTROL)), ("quotes", smart_quotes), ("whitespace", whitespace)]
+
+    def go(k: int, now: Column, changed: list[Column]) -> Column:
+        if k < len(steps):
+            name, f = steps[k]
+            return let(f(now), lambda after: go(k + 1, after, [*changed, F.when(after != now, F.lit(name))]))
+        change = F.abs(F.length(now) - F.length(text)) / F.greatest(F.length(text), F.lit(1))
+        return F.struct(now.alias("text"), F.array_compact(F.array(*changed)).alias("corrections"), F.greatest(F.lit(0.5), 1 - 0.5 * change).alias("score"))
+
+    if form is None:
+        return F.when(text.isNotNull(), go(0, text, []))
+    formed = unicode_form(form)(text)  # a Python function can't stand in a lambda, but its result can
+    return F.when(text.isNotNull(), let(formed, lambda after: go(0, after, [F.when(after != text, F.lit("unicode"))])))
 
 
 def ocr_words(text: Column) -> Column:
@@ -122,10 +132,12 @@ def ocr_rejoin(text: Column) -> Column:
 
 def ocr(text: Column) -> Column:
     """struct(text, score)."""
-    now = ocr_rejoin(ocr_lines(rewrite(ocr_words(text), OCR_SPACING)))
-    ratio = F.length(now) / F.greatest(F.length(text), F.lit(1))
-    score = F.when(F.length(text) == 0, 1.0).when(F.length(now) == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), ratio * 0.9 + 0.1), 3))
-    return F.struct(now.alias("text"), score.alias("score"))
+    def result(now: Column) -> Column:
+        ratio = F.length(now) / F.greatest(F.length(text), F.lit(1))
+        score = F.when(F.length(text) == 0, 1.0).when(F.length(now) == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), ratio * 0.9 + 0.1), 3))
+        return F.struct(now.alias("text"), score.alias("score"))
+
+    return F.when(text.isNotNull(), let(ocr_rejoin(ocr_lines(rewrite(ocr_words(text), OCR_SPACING))), result))
 
 
 def final_cleanup(text: Column) -> Column:
@@ -134,10 +146,11 @@ def final_cleanup(text: Column) -> Column:
 
 def repeated_paragraphs(text: Column, least: int = 20) -> Column:
     """Paragraphs of more than least characters once, at their first place, whatever their case and spacing."""
-    parts = F.split(text, r"\n\s*\n")
-    keys = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))
-    kept = F.filter(parts, lambda p, i: (F.length(F.trim(p)) <= least) | (F.array_position(keys, F.element_at(keys, i + 1)) == i + 1))
-    return F.array_join(kept, "\n\n")
+    def keep(parts: Column, keys: Column) -> Column:
+        return F.array_join(F.filter(parts, lambda p, i: (F.length(F.trim(p)) <= least) | (F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)), "\n\n")
+
+    key = lambda parts: F.transform(parts, lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s+", " ")))
+    return let(F.split(text, r"\n\s*\n"), lambda parts: let(key(parts), lambda keys: keep(parts, keys)))
 
 
 def clean_document(text: Column) -> Column:
