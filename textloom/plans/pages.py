@@ -1 +1,41 @@
-"""Queries to come."""
+"""Queries of web pages and markup."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.plans.registry import query, table
+from textloom.sources import markup as M
+
+
+@query("html_titles", "SELECT page_id, coalesce(nullif(trim(regexp_replace(html_unescape_once, '\\s+', ' ', 'g')), ''), 'Untitled Document') AS title FROM (SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS html_unescape_once FROM pages)")
+def html_titles(spark, sf):
+    return M.pages(table(spark, sf, "pages")).select("page_id", "title")
+
+
+@query("html_pages")
+def html_pages(spark, sf):
+    return M.pages(table(spark, sf, "pages"))
+
+
+@query("html_structure")
+def html_structure(spark, sf):
+    return M.pages(table(spark, sf, "pages")).select("page_id", F.size("headings").alias("headings"), "paragraphs", F.size("links").alias("links"), F.size("images").alias("images"), F.size("tables").alias("tables"), "lists")
+
+
+@query("html_text", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", M.html_text(F.col("html"), emoji=True).alias("text"))
+
+
+@query("markdown_text")
+def markdown_text(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(M.markdown_text(F.col("text"))).alias("digest"), M.markdown_structure(F.col("text")).alias("s")).select("doc_id", "digest", "s.lists", "s.links", "s.code")
+
+
+@query("text_structure", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p) <> '')) AS paragraphs, len(regexp_extract_all(text, '(?m)^[ \\t]*(?:[-*•]|\\d+[.)])[ \\t]+')) AS list_items FROM documents")
+def text_structure(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", M.text_structure(F.col("text")).alias("s"))
+    return s.select("doc_id", F.col("s.paragraphs").cast("long").alias("paragraphs"), F.col("s.list_items").cast("long").alias("list_items"))
