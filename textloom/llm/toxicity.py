@@ -21,6 +21,8 @@ CATEGORIES = ("lexical", "repeated", "toxic")
 SAMPLE_PER_CLASS = 4000
 #: Terms kept, letters of the stems that count as terms, folds for the out-of-fold predictions.
 TERMS, STEMS, FOLDS = 1024, (4, 5, 6, 7, 8), 5
+#: Half a log-likelihood ratio that a term needs (chance alone gives it about once in 16,000), or long clean texts gather terms that only look abusive.
+SURE = 8.0
 #: A document whose probability of the last category is higher is rejected.
 THRESHOLD = 0.5
 WORD = re.compile(r"\w+")
@@ -131,7 +133,8 @@ def fit(rows: list[tuple[str, int]], n_terms: int = TERMS, folds: int = FOLDS, d
         return float(out)
 
     common = [t for t, k in seen[1].items() if k >= 3 and k / total[1] > 2 * seen[0][t] / total[0]]
-    ranked = sorted(common, key=lambda t: (-ratio(t), t))[:n_terms]
+    worth = {t: r for t in common if (r := ratio(t)) >= SURE}
+    ranked = sorted(worth, key=lambda t: (-worth[t], t))[:n_terms]
     abusive = {t for t in ranked[: n_terms // 4] if seen[0][t] / total[0] * 20 < seen[1][t] / total[1]}
     chain = Chain({t: i for i, t in enumerate(ranked)}, [], abusive)
     x = np.array([chain.row(t) for t, _ in rows])
