@@ -18,7 +18,7 @@ from textloom.llm.common import per_document, pieces
 #: The chain, in order. The table has one label, toxic; the earlier categories are drawn from it and from the terms that set toxic rows apart.
 CATEGORIES = ("lexical", "repeated", "toxic")
 #: Labelled rows of each class that are used, at most: those whose ids hash lowest.
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 #: Terms kept, letters of the stems that count as terms, folds for the out-of-fold predictions.
 TERMS, STEMS, FOLDS = 1024, (4, 5, 6, 7, 8), 5
 #: Half a log-likelihood ratio that a term needs (chance alone gives it about once in 16,000), or long clean texts gather terms that only look abusive.
@@ -34,27 +34,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights, the last of them the bias, of a logistic regression with an L2 penalty, by Newton's method with conjugate gradients."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x1.shape[1])
-    penalty = np.full(len(w), decay)
+    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)], dtype=np.float32)
+    y, w = y.astype(np.float32), np.zeros(x1.shape[1], np.float32)
+    penalty = np.full(len(w), decay, np.float32)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = sigmoid(x1 @ w)
         g = x1.T @ (p - y) + penalty * w
         if np.abs(g).max() < 1e-4 * max(1, len(y)) ** 0.5:
             break
-        s = p * (1 - p) + 1e-9
+        s = p * (1 - p) + np.float32(1e-9)
         d, r = np.zeros_like(w), -g
         q, rr = r.copy(), float(r @ r)
         for _ in range(40):
             hq = x1.T @ (s * (x1 @ q)) + penalty * q
-            a = rr / float(q @ hq)
+            a = np.float32(rr / float(q @ hq))
             d += a * q
             r -= a * hq
             new = float(r @ r)
             if new < 1e-8:
                 break
-            q, rr = r + new / rr * q, new
+            q, rr = r + np.float32(new / rr) * q, new
         w += d
     return w
 
@@ -137,7 +137,7 @@ def fit(rows: list[tuple[str, int]], n_terms: int = TERMS, folds: int = FOLDS, d
     ranked = sorted(worth, key=lambda t: (-worth[t], t))[:n_terms]
     abusive = {t for t in ranked[: n_terms // 4] if seen[0][t] / total[0] * 20 < seen[1][t] / total[1]}
     chain = Chain({t: i for i, t in enumerate(ranked)}, [], abusive)
-    x = np.array([chain.row(t) for t, _ in rows])
+    x = np.array([chain.row(t) for t, _ in rows], np.float32)
     labels = np.array([categories(terms_of(t), y, abusive) for t, y in rows], np.float64)
     fold = np.arange(len(rows)) % folds
     earlier = np.zeros((len(rows), 0))
