@@ -37,7 +37,7 @@ def detect(path: Column, content: Column) -> Column:
     magic = F.coalesce(*(F.when(head.startswith(m), F.lit(t)) for m, t in MAGIC.items()))
     magic = F.when((magic == "zip") & ext.isin(*OFFICE), ext).otherwise(magic)
     named = F.coalesce(*(F.when(ext == e, F.lit(t)) for e, t in EXTENSIONS.items()))
-    seen = sniff(F.decode(F.substring(content, 1, 1024), F.lit("ISO-8859-1")))
+    seen = sniff(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
     answer = lambda t, c: F.struct(t.alias("type"), F.lit(c).alias("confidence"))
     return F.when(magic.isNotNull(), answer(magic, 0.95)).when(named.isNotNull(), answer(named, 0.8)).when(seen.isNotNull(), answer(seen, 0.4)).otherwise(answer(F.lit("unknown"), 0.0))
 
