@@ -124,8 +124,8 @@ def _domain(best: Column, confidence: Column, least: float) -> Column:
 
 
 AUTHOR = (r"(?im)^(?:author|byline|written by|posted by):?\s*([^\n,]{2,50})$", r"(?im)\bby\s+([A-Z][a-z]+ [A-Z][a-z]+)\b")
-DATE = (r"(\d{4}-\d{2}-\d{2})", r"(\d{1,2}/\d{1,2}/\d{4})", r"(?i)(\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4})", r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4})")
-URL = (r"(?im)^(?:source|url|link):\s*(https?://\S+)", r"(https?://[^\s<>\"']+)")
+DATE = (r"(\d{4}-\d\d-\d\d)", r"((?:\d\d?/){2}\d{4})", r"(?i)(\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4})", r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4})")
+URL = (r"(?im)^(?:link|source|url):\s*(https?://\S+)", r"(https?://[^\s<>\x22']+)")
 TITLE = (r"(?im)^title:\s*([^\n]{3,200})$", r"(?m)^#\s+([^\n]{3,200})$", r"^\s*([^\n]{3,100})\n")
 
 
@@ -141,7 +141,7 @@ def metadata(text: Column) -> Column:
     return F.struct(*(x.alias(k) for k, x in parts.items()), (found / 4).alias("confidence"))
 
 
-ENTITIES = {"URL": T.PII_KINDS["url"], "EMAIL": T.PII_KINDS["email"], "MONEY": r"[$€£]\d+(?:[.,]\d+)*", "DATE": r"\b\d{4}-\d{2}-\d{2}\b", "PERCENT": r"\b\d+(?:\.\d+)?%"}
+ENTITIES = {"URL": T.PII_KINDS["url"], "EMAIL": T.PII_KINDS["email"], "MONEY": r"[$€£]\d+(?:[.,]\d+)*", "DATE": r"\b\d{4}(?:-\d\d){2}\b", "PERCENT": r"\b\d+(?:\.\d+)?%"}
 
 
 def entities(text: Column, patterns: dict[str, str] = ENTITIES, confidence: float = 0.8, most: int = 100) -> Column:

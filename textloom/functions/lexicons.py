@@ -63,11 +63,15 @@ INTENSIFIERS = {
 }
 NEGATIONS = tuple("arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt lack lacking neither never no nobody none nor not nothing nowhere shouldnt wasnt werent without wont wouldnt".split())
 
+#: Domain -> (keywords, pattern of words that count twice).
 TAXONOMY = {
-    "technology": (("software", "programming", "ai", "machine learning", "computer"), "javascript|nodejs|python|react"),
-    "science": (("research", "study", "experiment", "analysis", "data"), "hypothesis|methodology|results"),
-    "business": (("company", "market", "revenue", "strategy", "customer"), "investment|loss|profit|roi"),
-    "education": (("learn", "teach", "student", "course", "tutorial"), "chapter|exercise|lesson"),
+    domain: (tuple(keys.split("|")), pattern)
+    for domain, keys, pattern in (
+        ("technology", "ai|computer|machine learning|programming|software", "javascript|nodejs|python|react"),
+        ("science", "analysis|data|experiment|research|study", "hypothesis|methodology|results"),
+        ("business", "company|customer|market|revenue|strategy", "investment|loss|profit|roi"),
+        ("education", "course|learn|student|teach|tutorial", "chapter|exercise|lesson"),
+    )
 }
 COMPLETENESS = {
     "structure": ("finally", "first", "next", "second", "then", "third"), "examples": ("example", "for instance", "including", "such as"), "references": ("bibliography", "citation", "reference", "source"),

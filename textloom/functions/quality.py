@@ -12,7 +12,7 @@ from textloom.functions import text as T
 
 WEIGHTS = {"length": 0.15, "language": 0.15, "coherence": 0.20, "uniqueness": 0.15, "readability": 0.15, "structure": 0.10, "completeness": 0.10}
 #: Java's dialect (a reference back to a group). Case doesn't count in any pattern, so that capitals of five letters match any such word.
-REPEATED_WORD = r"(?im)\b(\w+)\s+\1\s+\1\b"
+REPEATED_WORD = r"(?im)\b(\w+)(?:\s+\1){2}\b"
 LOW_QUALITY = (r"(?im)\b(?:amazing|buy now|click here|free|incredible|!!+)\b", r"(?im)[A-Z]{5,}", r"(?im)[!]{3,}|[?]{3,}", r"(?im)\$\d+|\d+%\s*off")
 INCOMPLETE = r"(?i)\.\.\.$|\[.*\]$|fixme|lorem ipsum|todo|xxx"
 FORMATTING = r"[^\p{L}\p{N}_\s]{5,}|\n{4,}|\s{3,}"

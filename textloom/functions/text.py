@@ -15,11 +15,11 @@ from textloom.functions import lexicons as L
 #: (pattern, replacement) lists, each applied in order. Patterns suit Java and RE2 alike unless a list says otherwise; $1 is the first group.
 Rules = Sequence[tuple[str, str]]
 
-CONTROL: Rules = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]", "")]
+CONTROL: Rules = [(r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]", "")]
 WHITESPACE: Rules = [(r"\r\n?", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"^\s+|\s+$", "")]
 FINAL: Rules = [(r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"(?m)^[ \t]+|[ \t]+$", ""), (r"(?m)^[^\n]{1,2}$", "")]
-OCR_SPACING: Rules = [(r"\s+([,.;:!?])", "$1"), (r"([,.;:!?])([A-Za-z])", "$1 $2"), (r"-\s*\n\s*", "")]
-OCR_LINES: Rules = [(r"([a-z])\n([a-z])", "$1$2"), (r"([a-z,])\n([A-Z])", "$1 $2")]
+OCR_SPACING: Rules = [(r"\s+([!,.:;?])", "$1"), (r"([!,.:;?])([a-zA-Z])", "$1 $2"), (r"-\s*\n\s*", "")]
+OCR_LINES: Rules = [(r"([a-z])[\n]([a-z])", "$1$2"), (r"([,a-z])[\n]([A-Z])", "$1 $2")]
 TEXT_NOISE: Rules = [
     (r"(?m)^(?:Confidential|Downloaded from|Draft|Generated on|Last updated:).*$", ""), (r"(?m)^\d+[ \t]*$|^Page \d+ of \d+$", ""), (r"(?m)^©.*?\d{4}.*$", ""), (r"(?i)\[(?:stamp|watermark)\]|confidential|draft", ""),
 ]
@@ -30,15 +30,15 @@ WEB_NOISE: Rules = [
 WEB_METADATA: Rules = [(r"(?im)^(?:by|author|published|updated)\b[: ].*$", "")]
 METADATA_JUNK: Rules = [(r"(?im)^(?:revision|version|modified)\b.*$", ""), (r"[.]{4,}|-{4,}|={4,}", "")]
 GLOBAL_BOILERPLATE: Rules = [
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?", ""), (r"\d{1,2}/\d{1,2}/\d{2,4}", ""), (r"(?i)(?:©|copyright)[^\n]*", ""), (r"(?im)^(?:best regards|kind regards|sincerely|thanks),?$", ""),
+    (r"\d{4}(?:-\d\d){2}T(?:\d\d:){2}\d\d(?:[.]\d+)?Z?", ""), (r"(?:\d\d?/){2}\d{2,4}", ""), (r"(?i)(?:©|copyright)[^\n]*", ""), (r"(?im)^(?:best regards|kind regards|sincerely|thanks),?$", ""),
 ]
 GENERATED: Rules = [(r"(?i)(?:as an ai|i'm an ai|as a language model)[^\n]*", "")]
 PII: Rules = [
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]"), (r"\(\d{3}\)\s*\d{3}[-.]?\d{4}", "[PHONE]"), (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-    (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "[CREDIT_CARD]"),
+    (r"\b[\w.%+-]+@[a-zA-Z\d.-]+\.[a-zA-Z|]{2,}\b", "[EMAIL]"), (r"\b(?:\d{3}[.-]?){2}\d{4}\b", "[PHONE]"), (r"[(]\d{3}[)]\s*\d{3}[.-]?\d{4}", "[PHONE]"), (r"\b\d{3}-\d\d-\d{4}\b", "[SSN]"),
+    (r"\b(?:\d{4}[\s-]?){3}\d{4}\b", "[CREDIT_CARD]"),
 ]
 PII_KINDS = {"ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "url": r"https?://\S+", "email": PII[0][0], "card": PII[4][0], "ssn": PII[3][0], "phone_us": PII[1][0], "phone_intl": r"\+\d{1,3}[ -]?\(?\d{1,4}\)?(?:[ -]?\d{2,4}){2,4}", "address": r"\b\d{1,5} [A-Z][a-z]+ (?:Ave|Avenue|Rd|Road|St|Street)\b"}
-CODE_SECRETS: Rules = [(r"(?i)(api_key|password|secret|token)\s*=\s*[\"'][^\"']+[\"']", "$1 = [REDACTED]"), (r"://[^:/\s]+:[^@/\s]+@", "://[REDACTED]@")]
+CODE_SECRETS: Rules = [(r"(?i)(api_key|password|secret|token)\s*=\s*[\x22'][^\x22']+[\x22']", "$1 = [REDACTED]"), (r"://[^:/\s]+:[^@/\s]+@", "://[REDACTED]@")]
 CODE_NOISE: Rules = [(r"(?i)<(?:figure size|matplotlib\.)[^>]*>", ""), (r"(?i)(?:console\.log|system\.out\.println)\s*\([^\n]*?\)|print\s*\([^\n]*?debug[^\n]*?\)", "")]
 CODE_STYLE: Rules = [(r"(?im)^\s*(?:#|//)\s*(?:debug|fixme|todo)?[^\n]{0,3}$", ""), (r"(?m)[ \t]+$", ""), (r"\n{4,}", "\n\n\n")]
 IMAGE_TEXT: Rules = [(r"(?im)^(?:figure|logo|watermark)\b[^\n]*$", ""), (r"(?m)^[-=_]{3,}$", "")]
@@ -46,7 +46,7 @@ SPECIALS: Rules = [(r"(?m)^[ \t]*[-*+•◦▪][ \t]+", "• "), (r"(?m)^[ \t]*(
 WEB_REFERENCES: Rules = [(r"(?i)\be\.g\.", "for example"), (r"(?i)\bi\.e\.", "that is"), (r"(?i)\betc\.", "and so on"), (r"(?i)\bvs\.", "versus"), (r"(?i)\bapprox\.", "approximately")]
 LANGUAGE_INPUT: Rules = [(r"https?://\S+", " "), (r"\S+@\S+", " "), (r"[^\p{L}\s]", " "), (r"\s+", " ")]
 SNAKE: Rules = [(r"([a-z0-9])([A-Z])", "$1_$2"), (r"[^A-Za-z0-9_]+", "_"), (r"_+", "_"), (r"^_+|_+$", "")]
-EMOJI = "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f1e0-\U0001f1ff\U00002702-\U000027b0\U0001f900-\U0001f9ff\U0001fa70-\U0001faff\U00002600-\U000026ff]"
+EMOJI = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x2600, 0x26FF), (0x2702, 0x27B0), (0x1F1E0, 0x1F1FF), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF))) + "]"
 #: Key of duplicates: lower case, one blank for white space, no other sign.
 DUPLICATE_KEY: Rules = [(r"\s+", " "), (r"^ +| +$", ""), (r"[^\p{L}\p{N}_\s]", "")]
 

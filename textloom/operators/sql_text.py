@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-QUOTES = {"postgresql": '"', "mysql": "`"}
+POSTGRES = "postgresql"
+QUOTES = {POSTGRES: '"', "mysql": "`"}
 
 
-def quote(name: str, dialect: str = "postgresql") -> str:
+def quote(name: str, dialect: str = POSTGRES) -> str:
     """Each part of a dotted name in the dialect's quotes."""
     q = QUOTES[dialect]
     return ".".join(part if part == "*" else f"{q}{part.replace(q, q + q)}{q}" for part in name.split("."))
@@ -19,12 +20,12 @@ def literal(value: Any) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).upper()
-    if isinstance(value, (int, float)):
-        return str(value)
+    if isinstance(value, int | float):
+        return repr(value)
     return "'" + str(value).replace("'", "''") + "'"
 
 
-def paging(limit: int | None, offset: int | None, dialect: str = "postgresql") -> str:
+def paging(limit: int | None, offset: int | None, dialect: str = POSTGRES) -> str:
     """MySQL's LIMIT offset, n; an offset without a limit is kept, unlike in most builders."""
     if limit is None and not offset:
         return ""
@@ -33,7 +34,7 @@ def paging(limit: int | None, offset: int | None, dialect: str = "postgresql") -
     return (f" LIMIT {limit}" if limit is not None else "") + (f" OFFSET {offset}" if offset else "")
 
 
-def select(table: str, columns: Sequence[str] = ("*",), where: str | None = None, group_by: Sequence[str] = (), having: str | None = None, order_by: str | None = None, limit: int | None = None, offset: int | None = None, distinct: bool = False, dialect: str = "postgresql") -> str:
+def select(table: str, columns: Sequence[str] = ("*",), where: str | None = None, group_by: Sequence[str] = (), having: str | None = None, order_by: str | None = None, limit: int | None = None, offset: int | None = None, distinct: bool = False, dialect: str = POSTGRES) -> str:
     parts = [f"SELECT {'DISTINCT ' if distinct else ''}{', '.join(quote(c, dialect) for c in columns)} FROM {quote(table, dialect)}"]
     parts += [f"WHERE {where}"] if where else []
     parts += ["GROUP BY " + ", ".join(quote(c, dialect) for c in group_by)] if group_by else []
@@ -42,7 +43,7 @@ def select(table: str, columns: Sequence[str] = ("*",), where: str | None = None
     return " ".join(parts) + paging(limit, offset, dialect)
 
 
-def insert(table: str, columns: Sequence[str], on_conflict: str | None = None, dialect: str = "postgresql") -> str:
+def insert(table: str, columns: Sequence[str], on_conflict: str | None = None, dialect: str = POSTGRES) -> str:
     """With named parameters; on_conflict: ignore or update (on the first column)."""
     names = ", ".join(quote(c, dialect) for c in columns)
     text = f"INTO {quote(table, dialect)} ({names}) VALUES ({', '.join(':' + c for c in columns)})"
@@ -54,15 +55,15 @@ def insert(table: str, columns: Sequence[str], on_conflict: str | None = None, d
     return f"INSERT {text}{tail}"
 
 
-def update(table: str, columns: Sequence[str], where: str, dialect: str = "postgresql") -> str:
+def update(table: str, columns: Sequence[str], where: str, dialect: str = POSTGRES) -> str:
     return f"UPDATE {quote(table, dialect)} SET {', '.join(f'{quote(c, dialect)} = :{c}' for c in columns)} WHERE {where}"
 
 
-def delete(table: str, where: str, dialect: str = "postgresql") -> str:
+def delete(table: str, where: str, dialect: str = POSTGRES) -> str:
     return f"DELETE FROM {quote(table, dialect)} WHERE {where}"
 
 
-def create_table(table: str, columns: Sequence[Mapping[str, Any]], primary_key: Sequence[str] = (), foreign_keys: Sequence[Mapping[str, str]] = (), indexes: Sequence[Mapping[str, Any]] = (), dialect: str = "postgresql") -> list[str]:
+def create_table(table: str, columns: Sequence[Mapping[str, Any]], primary_key: Sequence[str] = (), foreign_keys: Sequence[Mapping[str, str]] = (), indexes: Sequence[Mapping[str, Any]] = (), dialect: str = POSTGRES) -> list[str]:
     """CREATE TABLE of {name, type, nullable, default, unique} columns, then the indexes' own statements."""
     lines = []
     for c in columns:
@@ -75,6 +76,6 @@ def create_table(table: str, columns: Sequence[Mapping[str, Any]], primary_key:
     return [f"CREATE TABLE IF NOT EXISTS {quote(table, dialect)} ({', '.join(lines)})", *(create_index(table, dialect=dialect, **i) for i in indexes)]
 
 
-def create_index(table: str, name: str, columns: Sequence[str], unique: bool = False, where: str | None = None, dialect: str = "postgresql") -> str:
+def create_index(table: str, name: str, columns: Sequence[str], unique: bool = False, where: str | None = None, dialect: str = POSTGRES) -> str:
     tail = f" WHERE {where}" if where and dialect == "postgresql" else ""
     return f"CREATE {'UNIQUE ' if unique else ''}INDEX {quote(name, dialect)} ON {quote(table, dialect)} ({', '.join(quote(c, dialect) for c in columns)}){tail}"

@@ -13,6 +13,7 @@ from textloom.functions import text as T
 #: Heads of files, as hex, and their types.
 MAGIC = {"25504446": "pdf", "89504e47": "png", "ffd8ff": "jpg", "47494638": "gif", "504b0304": "zip", "d0cf11e0": "doc", "7b5c727466": "rtf", "1f8b": "gz", "49492a00": "tiff", "4d4d002a": "tiff"}
 OFFICE = {"docx", "pptx", "xlsx", "odt", "epub"}
+SIZE = r"(?i)^\s*([\d.]*\d)\s*([KMGT]?)B?\s*$"
 EXTENSIONS = {e: k for k, es in {"txt": "txt text log", "markdown": "md markdown", "html": "htm html", "json": "json", "jsonl": "jsonl ndjson", "csv": "csv", "tsv": "tsv", "xml": "xml", "pdf": "pdf", "docx": "docx", "jpg": "jpeg jpg", "png": "png", "svg": "svg", "gif": "gif", "tiff": "tif tiff"}.items() for e in es.split()}
 
 
@@ -159,6 +160,6 @@ def clean_json(text: Column) -> Column:
 
 def size_of(text: Column) -> Column:
     """Bytes of a size such as 10MB, by 1,024s; null for anything else."""
-    number, unit = F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)B?\s*$", 1), F.upper(F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)B?\s*$", 2))
+    number, unit = F.regexp_extract(text, SIZE, 1), F.upper(F.regexp_extract(text, SIZE, 2))
     power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
     return F.when(number != "", (number.cast("double") * F.pow(F.lit(1024.0), power)).cast("long"))

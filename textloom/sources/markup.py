@@ -152,7 +152,7 @@ def html_text(page: Column, emoji: bool = False) -> Column:
 def markdown_text(text: Column) -> Column:
     """Markdown without its marks: front matter, fences, images, links, headings, emphasis, quotes, lists, tables."""
     rules = [
-        (r"(?s)\A---\n.*?\n---\n", ""), (r"(?s)```[^\n]*\n(.*?)```", "$1"), (r"`([^`\n]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*>[ \t]?", ""),
+        (r"(?s)\A---\n.*?\n---\n", ""), (r"(?s)```[^\n]*\n(.*?)```", "$1"), (r"`([^`\n]*)`", "$1"), (r"!?\[([^\[\]]*)\][(][^()]*[)]", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*>[ \t]?", ""),
         (r"(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+", ""), (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""), (r"(?m)^\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+[ \t]*:?-*:?[ \t]*$", ""), (r"(\*\*|__)([^\n]*?)\1", "$2"), (r"(?<![\p{L}\p{N}])[*_]([^*_\n]+)[*_](?![\p{L}\p{N}])", "$1"), (r"~~([^~\n]*)~~", "$1"), (r"[ \t]*\|[ \t]*", " "), (r"\n{3,}", "\n\n"),
     ]
     for pattern, to in rules:
@@ -164,7 +164,7 @@ def markdown_structure(text: Column) -> Column:
     """struct(headings, tables, lists, images, links, code): counts, outside code fences; the headings as texts."""
     plain = F.regexp_replace(text, r"(?s)```.*?```", "")
     n = lambda p: F.size(F.regexp_extract_all(plain, F.lit(p), F.lit(0)))
-    return F.struct(F.regexp_extract_all(plain, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$"), F.lit(1)).alias("headings"), n(r"(?m)^\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+").alias("tables"), n(r"(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+").alias("lists"), n(r"!\[[^\]]*\]\([^)]*\)").alias("images"), n(r"(?<!!)\[[^\]]*\]\([^)]*\)").alias("links"), F.floor(F.size(F.split(text, "(?m)^```")) / 2).alias("code"))
+    return F.struct(F.regexp_extract_all(plain, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$"), F.lit(1)).alias("headings"), n(r"(?m)^\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+").alias("tables"), n(r"(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+").alias("lists"), n(r"!\[[^\[\]]*\][(][^()]*[)]").alias("images"), n(r"(?<!!)\[[^\[\]]*\][(][^()]*[)]").alias("links"), F.floor(F.size(F.split(text, "(?m)^```")) / 2).alias("code"))
 
 
 def text_structure(text: Column) -> Column:

@@ -109,9 +109,9 @@ def trailing(events: DataFrame, minutes: int = 60) -> DataFrame:
 
 # Logs
 
-COMMON = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
-NGINX = r"^(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] (\d+)#(\d+): (.*)"
-APACHE = r"^\[([^\]]+)\] \[([^\]]+)\] (.*)"
+COMMON = r'^(\S+)(?: \S+){2} \[([^\]]+)\] "([^"]*)" (\d{3}) (-|\d+)(?: "(.*?)" "(.*?)"$)?'
+NGINX = r"^([\d/]{10} [\d:]{8}) \[([a-z]+)\] (\d+)[#](\d+): (.*)"
+APACHE = r"^\[(.+?)\] \[(.+?)\] (.*)"
 
 
 def parse_log(line: Column, kind: str = "common") -> Column:
