@@ -113,10 +113,11 @@ def occurrences(text: Column, term: str) -> Column:
 
 def domain(text: Column, taxonomy: dict = L.TAXONOMY, least: float = 0.3) -> Column:
     """struct(domain, confidence): occurrences of keywords and twice those of patterns, ten times their share of the words; below least uncategorized."""
-    low = F.lower(text)
-    scores = [(d, sum((occurrences(low, k) for k in keys), F.lit(0)) + 2 * F.size(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{p})\b"), F.lit(0)))) for d, (keys, p) in taxonomy.items()]
+    def scores(low: Column) -> Column:
+        return first_best([(d, sum((occurrences(low, k) for k in keys), F.lit(0)) + 2 * F.size(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{p})\b"), F.lit(0)))) for d, (keys, p) in taxonomy.items()])
+
     share = lambda best: F.least(F.lit(1.0), 10 * best["score"] / F.greatest(F.size(T.raw_tokens(text)), F.lit(1)))
-    return let(F.struct(first_best(scores).alias("best")), lambda v: let(share(v["best"]), lambda c: _domain(v["best"], c, least)))
+    return let(let(F.lower(text), scores), lambda best: let(share(best), lambda c: _domain(best, c, least)))
 
 
 def _domain(best: Column, confidence: Column, least: float) -> Column:

@@ -52,8 +52,8 @@ def repeats_sequence(line: str, least: int = 10, times: int = 4) -> bool:
     other; so only periods with such a pair are looked at, and all periods together cost n log n, not the square of n.
     """
     n = len(line)
-    if n < least * times:
-        return False
+    if not any(line.find(line[i : i + least], i + least) >= 0 for i in range(0, n - (times - 1) * least, least)):
+        return False  # of a repeated part, the first least characters at a multiple of least come again
     s = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     for p in range(least, n // times + 1):
         grid = s[: n // p * p : p]
@@ -125,16 +125,19 @@ def structure_score(text: Column, headings: Column | None = None) -> Column:
 
 
 def completeness_score(text: Column) -> Column:
-    low = F.lower(text)
-    found = sum((F.when(low.rlike("|".join(words)), 1).otherwise(0) for words in L.COMPLETENESS.values()), F.lit(0))
+    found = T.let(F.lower(text), lambda low: sum((F.when(low.rlike("|".join(words)), 1).otherwise(0) for words in L.COMPLETENESS.values()), F.lit(0)))
     return F.least(F.lit(1.0), F.when(text.rlike(INCOMPLETE), 0.6).otherwise(1.0) + F.least(F.lit(0.2), found * 0.05))
 
 
 def factors(text: Column, uniqueness: Column | None = None) -> Column:
     """struct of the seven scores and the weighted overall one; without a corpus a document counts as unique."""
     parts = {"length": length_score(text), "language": language_score(text), "coherence": coherence_score(text), "uniqueness": F.lit(1.0) if uniqueness is None else uniqueness, "readability": readability_score(text), "structure": structure_score(text), "completeness": completeness_score(text)}
-    overall = sum((WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
-    return F.struct(*(F.round(v, 6).alias(k) for k, v in parts.items()), F.round(overall, 6).alias("overall"))
+
+    def result(p: Column) -> Column:
+        overall = sum((WEIGHTS[k] * p[k] for k in parts), F.lit(0.0))
+        return F.struct(*(F.round(p[k], 6).alias(k) for k in parts), F.round(overall, 6).alias("overall"))
+
+    return T.let(F.struct(*(v.cast("double").alias(k) for k, v in parts.items())), result)
 
 
 def grade(score: Column) -> Column:
