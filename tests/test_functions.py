@@ -150,3 +150,31 @@ def test_sequence_ratio(spark):
     a, b = "the quick brown fox", "the quick brown box jumps"
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.select(sequence_ratio("a", "b")).first()[0] == SequenceMatcher(None, a, b).ratio()
+
+
+def test_office_files(spark, tmp_path):
+    import zipfile
+
+    from textloom.sources import office
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>One </w:t><w:t>line</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "b.svg").write_text('<svg xmlns="http://www.w3.org/2000/svg"><title>T</title><text>x <tspan>y</tspan></text></svg>')
+    (tmp_path / "c.docx").write_bytes(b"PK\x03\x04broken")
+    got = {r.path.rpartition("/")[2]: r for r in office.extract(files.scan(spark, str(tmp_path))).collect()}
+    assert got["a.docx"].text == "Head\nOne line\na | b" and got["a.docx"].headings == ["Head"] and got["a.docx"].tables == [[["a", "b"]]]
+    assert got["b.svg"].text == "T\nx y" and got["c.docx"].text is None and "Zip" in got["c.docx"].error
+
+
+def test_filters(spark):
+    from textloom.operators import filters
+
+    spans = "array<struct<start: int, end: int, confidence: double>>"
+    df = spark.createDataFrame([([(5, 9, 0.9), (0, 6, 0.5), (9, 12, 0.1)],), ([],)], f"s {spans}")
+    got = [[tuple(x) for x in r.k] for r in df.select(filters.without_overlap(F.col("s")).alias("k")).collect()]
+    assert got == [[(5, 9, 0.9), (9, 12, 0.1)], []]
+    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "", "en", "s"), (3, None, "de", "t")], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in filters.documents(docs, "en", words=(0, 0)).collect()] == [2]
+    assert filters.documents(docs).count() == 3 and filters.long_enough(docs, 1).count() == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.operators import analytics as A
+from textloom.operators import filters as X
 from textloom.operators import similarity as S
 from textloom.plans.registry import query, table
 from textloom.plans.text import RAW_SQL, SENTENCES_SQL, TOKENS_SQL
@@ -119,3 +120,27 @@ def dedup_staged(spark, sf):
 @query("dedup_statistics")
 def dedup_statistics(spark, sf):
     return S.statistics(S.deduplicate(table(spark, sf, "documents")))
+
+
+@query("filter_documents", f"SELECT doc_id FROM documents WHERE lang = 'en' AND len({RAW_SQL}) BETWEEN 100 AND 500 ORDER BY doc_id LIMIT 50 OFFSET 10")
+def filter_documents(spark, sf):
+    """One page of a filtered list: the limit is the feature."""
+    return X.documents(table(spark, sf, "documents"), "en", words=(100, 500), order_by=["doc_id"], limit=50, offset=10).select("doc_id")
+
+
+@query("filter_short", "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 50")
+def filter_short(spark, sf):
+    return X.long_enough(table(spark, sf, "documents")).select("doc_id")
+
+
+@query("analysis_report")
+def analysis_report(spark, sf):
+    """(metric, value) of the corpus: sizes, languages, polarity, readability, grades; two aggregations over the texts."""
+    from textloom.functions import annotate, quality
+
+    d = table(spark, sf, "documents")
+    one = d.select("lang", F.length("text").alias("chars"), F.size(T.tokens(F.col("text"))).alias("words"), annotate.sentiment(F.col("text"))["polarity"].alias("polarity"), quality.readability_score(F.col("text")).alias("readability"), quality.length_score(F.col("text")).alias("length"))
+    sums = one.agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), F.countDistinct("lang").alias("languages"), F.round(F.avg("polarity"), 6).alias("polarity"), F.round(F.avg("readability"), 6).alias("readability"), F.round(F.avg("length"), 6).alias("length"))
+    entropy = A.diversity(d, "lang").select(F.col("entropy").alias("language_entropy"))
+    wide = sums.crossJoin(entropy)  # one row each
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns))).alias("m")).select("m.*")
