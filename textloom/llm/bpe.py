@@ -18,7 +18,9 @@ from textloom.llm.common import per_document, pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a slice, and the tokens of distinct words that a worker keeps from slice to slice.
-SLICE_CHARS, CACHED_TOKENS = 12_000_000, 4_000_000
+SLICE_CHARS, CACHED_TOKENS = 6_000_000, 1_000_000
+#: Tokens that are decoded at once, or one run of them.
+DECODED_TOKENS = 200_000
 #: Rank of a pair that doesn't merge.
 NEVER = np.int32(np.iinfo(np.int32).max)
 #: Groups of new pairs beyond this size are sorted by rank in numpy.
@@ -190,10 +192,17 @@ def decode(vocab: Vocabulary, tokens: np.ndarray, counts: np.ndarray) -> list[by
     """Bytes of each run of tokens. Ids that the vocabulary lacks raise an IndexError."""
     if len(tokens) and (tokens.min() < 0 or tokens.max() >= vocab.size):
         raise IndexError("no such token")
-    sizes = vocab.lengths[tokens]
-    raw = spread(vocab.bytes, vocab.starts[tokens], sizes).tobytes()
-    ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+    ends, out, i = np.cumsum(counts), [], 0
+    while i < len(counts):  # a part at a time, as each byte takes an index of its own
+        first = int(ends[i] - counts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + DECODED_TOKENS, "right")))
+        part = tokens[first : int(ends[j - 1])]
+        sizes = vocab.lengths[part]
+        raw = spread(vocab.bytes, vocab.starts[part], sizes).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends[i:j] - first])].tolist()
+        out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+        i = j
+    return out
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
