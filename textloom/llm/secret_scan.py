@@ -197,4 +197,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact(t) if t else t)
 
-    return docs.withColumn(text_col, F.when(text.rlike(NEEDLES), clean(F.when(text.rlike(NEEDLES), text))).otherwise(text))
+    # The search runs once: what it passes over comes back as null and stays as it was.
+    return docs.withColumn(text_col, F.coalesce(clean(F.when(text.rlike(NEEDLES), text)), text))
