@@ -414,4 +414,4 @@ def mask_pii(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFram
         return pd.Series(out, dtype=object)
 
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.withColumn(text_col, F.when(text.rlike("[0-9@]"), clean(F.when(text.rlike("[0-9@]"), text))).otherwise(text))
+    return docs.withColumn(text_col, F.coalesce(clean(F.when(text.rlike("[0-9@]"), text)), text))
