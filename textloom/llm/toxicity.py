@@ -157,6 +157,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(text, 0 or 1) of at most per_class rows a class, those whose ids hash lowest; null texts and labels are left out."""
     y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     y = y.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    # A bound of the hash for each class lets about 1.5 times as many through, so that few rows are left to rank.
+    n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    bounds = {k: -(2**63) + min(2**64 - 1, 2**64 * (per_class * 3 // 2 + 100) // n[k]) for k in n}
+    y = y.where(F.col("h") <= F.when(F.col("y") == 1, F.lit(bounds.get(1, 0))).otherwise(F.lit(bounds.get(0, 0))))
     picked = y.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("r") <= per_class).select("id", "y", "h")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     found = texts.join(F.broadcast(picked), "id").select("h", "text", "y").toArrow().to_pylist()  # picked has 2 * per_class rows at most
