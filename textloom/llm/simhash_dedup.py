@@ -21,13 +21,13 @@ BITS, DISTANCE = 256, 40
 #: Bits of a grid coordinate's segment, and of the segments whose counts bound the distance from below before it is computed.
 FINE, COARSE = 2, 16
 #: The grids are laid out so that a pair that differs in DESIGN of its bits is found with probability RECALL; closer ones are found more often.
-DESIGN, RECALL, SEED = 0.11, 0.9, 7
+DESIGN, RECALL, SEED = 0.11, 0.97, 7
 #: Unrelated fingerprints that share a fingerprint's cell of a grid, on average. More make for fewer grids but more pairs to rule out.
-PARTNERS = 8
+PARTNERS = 50
 #: Chance that two unrelated fingerprints have the same count in a segment: words that a language shares make it higher than the 3/8 of random bits.
 CHANCE = 0.404
 #: All pairs of a cell are compared at once up to this size; larger cells are searched breadth-first, which finds the same components.
-SMALL_CELL = 32
+SMALL_CELL = 128
 #: Distinct words whose vectors a worker keeps.
 CACHED_WORDS = 200_000
 WORD = re.compile(r"\w+")
