@@ -91,6 +91,22 @@ def test_bound_and_search():
     assert len(set(disjoint.tolist())) == len(disjoint)
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**7])
+def test_recall_by_distance(n):
+    """Random pairs that meet in a cell, at each part of the allowed range and at its very end."""
+    rng = np.random.default_rng(8)
+    grids = S.layout(n)
+    for d in (20, 28, 32, 36, S.DISTANCE):
+        a = rng.integers(0, 2, (600, S.BITS), np.int8)
+        b = a.copy()
+        for row in b:
+            row[rng.choice(S.BITS, d, replace=False)] ^= 1
+        same = (a.reshape(600, -1, S.FINE).sum(axis=2) == b.reshape(600, -1, S.FINE).sum(axis=2))[:, grids]
+        recall = same.all(axis=2).any(axis=1).mean()
+        assert recall >= 0.9
+        assert abs(recall - S.meets(len(grids), grids.shape[1], d)) < 0.04
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from textloom.llm.common import cut, per_document, pieces
 BITS, DISTANCE = 256, 40
 #: Bits of a grid coordinate's segment, and of the segments whose counts bound the distance from below before it is computed.
 FINE, COARSE = 2, 16
-#: The grids are laid out so that a pair that differs in DESIGN of its bits is found with probability RECALL; closer ones are found more often.
-DESIGN, RECALL, SEED = 0.11, 0.97, 7
+#: The grids are laid out so that a pair at the greatest distance is found with probability RECALL; closer ones are found more often.
+RECALL, SEED = 0.97, 7
 #: Unrelated fingerprints that share a fingerprint's cell of a grid, on average. More make for fewer grids but more pairs to rule out.
 PARTNERS = 50
 #: Chance that two unrelated fingerprints have the same count in a segment: words that a language shares make it higher than the 3/8 of random bits.
@@ -95,16 +95,34 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return per_document(known, id_col, text_col, ", ".join(f"f{k} long" for k in range(LANES)), f).withColumnRenamed(id_col, "id")
 
 
-def layout(n: int, design: float = DESIGN, recall: float = RECALL) -> np.ndarray:
+def meets(grids: int, dims: int, distance: int) -> float:
+    """Probability that a pair that differs in distance random bits has equal counts in all dims segments of one of the grids.
+
+    Pairs differ in how many of their segments are equal, and those with few meet in hardly any grid, so the average is taken over pairs, not segments.
+    """
+    segments, total = BITS // FINE, 0.0
+    for both in range(max(0, distance - segments), distance // 2 + 1):  # segments that differ in both bits; half of these have equal counts
+        ways = comb(segments, both) * comb(segments - both, distance - 2 * both) * 2 ** (distance - 2 * both) / comb(BITS, distance)
+        for even in range(both + 1):
+            same = comb(segments - distance + both + even, dims) / comb(segments, dims)
+            total += ways * comb(both, even) / 2**both * (1 - (1 - same) ** grids)
+    return total
+
+
+def layout(n: int, distance: int = DISTANCE, recall: float = RECALL) -> np.ndarray:
     """The segments of each grid, for n distinct fingerprints.
 
     A grid has so many of them that a fingerprint shares its cell with about PARTNERS unrelated ones; there are so many grids that
-    a pair at the design distance meets in one with the recall. Grids take segments off a shuffled list, and no segment comes
+    a pair at the distance meets in one with the recall. Grids take segments off a shuffled list, and no segment comes
     again before all have had a turn, so a pair that differs in fewer bits than the disjoint grids at the start is always found.
     """
     dims = min(max(8, ceil(log(max(n / PARTNERS, 2)) / -log(CHANCE))), 38)
-    same = ((1 - design) ** 2 + design**2 / 2) ** dims
-    grids = max(1, ceil(log(1 - recall) / log(1 - same)))
+    least, grids = 0, 1
+    while meets(grids, dims, distance) < recall:
+        least, grids = grids, 2 * grids
+    while grids - least > 1:
+        middle = (least + grids) // 2
+        least, grids = (middle, grids) if meets(middle, dims, distance) < recall else (least, middle)
     rng, segments = np.random.default_rng(SEED), BITS // FINE
     turns = [rng.permutation(segments)[: segments - segments % dims] for _ in range(ceil(grids * dims / (segments - segments % dims)))]
     return np.concatenate(turns)[: grids * dims].reshape(grids, dims)
@@ -237,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs, id_col, text_col))
     firsts = cut(prints.groupBy(*names).agg(F.min("id").alias("id")).select("id", *names))
     members = prints.join(firsts.withColumnRenamed("id", "first"), names).select("id", "first")
-    edges = near_in_cells(cells(firsts, layout(firsts.count())), distance)
+    edges = near_in_cells(cells(firsts, layout(firsts.count(), distance)), distance)
     alike = members.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     return components(edges.unionByName(alike)).select(F.col("node").alias(id_col), F.col("root").alias("kept_id"))
 
