@@ -200,6 +200,28 @@ def test_secrets_are_confirmed_by_structure(spark):
     assert all(clean[k] == docs[k][1] for k in range(len(good), len(docs)))
 
 
+@pytest.mark.parametrize("head", [{"alg": "HS256", "typ": "JWT"}, {"alg": "RS256", "typ": "JWT"}, {"alg": "HS256"}])
+def test_tokens_inside_other_candidates(head):
+    b64 = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    rng = random.Random(10)
+    token = ".".join(b64(x) for x in (json.dumps(head, separators=(",", ":")).encode(), b'{"sub":"me","admin":true}', rng.randbytes(32)))
+    for before in ('token = "', '"access_token": "', "auth=", "password=access_token=", "https://host.example.com/some/longer/path/of/an/interface/", "token=/v1/", "see-this.then."):
+        text = f"so {before}{token} and on"
+        assert S.find(text) == [("signed-token", text.index(token), text.index(token) + len(token))], before
+        assert S.redact(text) == f"so {before}[signed-token] and on"
+
+
+def test_secrets_behind_candidates_that_fail():
+    opaque = random.Random(11).randbytes(20).hex()
+    key, blob = secrets()[0]["aws-key-id"], "".join(secrets()[0]["private-key:pkcs1-rsa"].split("\n")[1:-1])
+    assert [k for k, *_ in S.find(f"{key}.some.thing")] == ["aws-key-id"]
+    assert [k for k, *_ in S.find(f"{'a/' * 30}{key}")] == ["aws-key-id"]
+    assert [k for k, *_ in S.find(f"password=access_token={opaque}")] == ["assigned:token"]
+    assert [k for k, *_ in S.find(f"{blob.rstrip('=').replace('+', '-').replace('/', '_')}.some.thing")] == ["private-key:pkcs1-rsa"]
+    for text in ("token=" * 30_000, "token=aaaaaaaaaaaa" * 10_000, "aaaaaaaa." * 30_000, "a/" * 100_000, "A1b2-" * 50_000 + "."):
+        assert S.find(text) == []  # linear time
+
+
 def test_secrets_in_odd_rows(spark):
     docs = frame(spark, odd_rows())
     assert S.scan_secrets(docs).count() == 0 and S.scan_secrets(frame(spark, [])).count() == 0

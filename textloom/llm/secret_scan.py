@@ -22,13 +22,15 @@ MIN_RANDOMNESS = 0.80
 MASK = "[{}]"
 
 # Each candidate begins where its class of characters does, so a long run is one candidate, whatever it holds.
-CANDIDATES = re.compile(
-    r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s]*)-----END (?P=label)-----)"
-    r"|(?P<jwt>(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)"
-    r"|(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9]))"
-    r"|(?i:(?P<name>password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_-]{12,}={0,2}))"
-    r"|(?P<blob>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2})"
+FORMS = (
+    r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s]*)-----END (?P=label)-----)",
+    r"(?P<jwt>(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)",
+    r"(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9]))",
+    r"(?i:(?P<name>password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_-]{12,}={0,2}))",
+    r"(?P<blob>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2})",
 )
+CANDIDATES = re.compile("|".join(FORMS))
+PEM, JWT, AWS, ASSIGNED, BLOB = map(re.compile, FORMS)
 #: Every candidate has one of these, so a text without any is done with after the JVM's search.
 NEEDLES = r"PRIVATE KEY|(AKIA|ASIA)[A-Z2-7]{16}|(?i:passw|pwd|secret|token|key|auth)|[A-Za-z0-9+/_-]{40}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{4,}\."
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
@@ -116,42 +118,50 @@ def random_bytes(data: bytes) -> bool:
     return entropy >= MIN_RANDOMNESS * min(8.0, log2(n))
 
 
-def confirm(m: re.Match) -> tuple[str, int, int] | None:
-    """(kind, start, end) of a candidate whose structure holds."""
-    if m["pem"]:
-        kind = private_key(decode("".join(m["body"].split())) or b"")
-        return (f"private-key:{kind}", *m.span("pem")) if kind else None
-    if m["jwt"]:
-        return ("signed-token", *m.span("jwt")) if signed_token(m["jwt"]) else None
-    if m["aws"]:
-        account = base64.b32decode(m["aws"][4:])
-        return ("aws-key-id", *m.span("aws")) if len(set(account)) > 4 else None
-    if m["value"]:
-        data = decode(m["value"])
-        if data is None or not any(c.isdigit() for c in m["value"]):
-            return None
-        if kind := private_key(data):
-            return (f"private-key:{kind}", *m.span("value"))
-        return (f"assigned:{m['name'].lower().replace('-', '_')}", *m.span("value")) if random_bytes(data) else None
-    data = decode(m["blob"])
-    if data is not None and (kind := private_key(data)):
-        return (f"private-key:{kind}", *m.span("blob"))
+def token_at(text: str, start: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the signed token that begins there."""
+    m = JWT.match(text, start)
+    return ("signed-token", *m.span()) if m and signed_token(m["jwt"]) else None
+
+
+def confirm(text: str, start: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the first form of candidate that begins there, or in a name's value, and whose structure holds."""
+    if m := PEM.match(text, start):
+        if kind := private_key(decode("".join(m["body"].split())) or b""):
+            return f"private-key:{kind}", *m.span()
+    if hit := token_at(text, start):
+        return hit
+    if (m := AWS.match(text, start)) and len(set(base64.b32decode(m["aws"][4:]))) > 4:
+        return "aws-key-id", *m.span()
+    if m := ASSIGNED.match(text, start):
+        value = m["value"]
+        # The value has no dots, so a token's header would pass for all of it; a token may also be the last part of a path.
+        if hit := token_at(text, m.start("value") + max(value.rfind("/"), value.rfind("+")) + 1):
+            return hit
+        data = decode(value)
+        if data is not None and any(c.isdigit() for c in value):
+            if kind := private_key(data):
+                return f"private-key:{kind}", *m.span("value")
+            if random_bytes(data):
+                return f"assigned:{m['name'].lower().replace('-', '_')}", *m.span("value")
+    if (m := BLOB.match(text, start)) and (data := decode(m["blob"])) is not None and (kind := private_key(data)):
+        return f"private-key:{kind}", *m.span()
     return None
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
-    """Confirmed secrets of the whole text, from left to right without overlap. After a candidate that fails, the search goes on behind its first part."""
+    """Confirmed secrets of the whole text, from left to right without overlap.
+
+    After a candidate that fails, the search goes on inside it. A run isn't a candidate again from its middle, but other forms
+    may begin there, so the time stays linear.
+    """
     found, at = [], 0
     while m := CANDIDATES.search(text, at):
-        if hit := confirm(m):
+        if hit := confirm(text, m.start()):
             found.append(hit)
-            at = max(hit[2], m.end())
-        elif m["jwt"]:
-            at = m.start() + len(m["jwt"].split(".")[0]) + 1
-        elif m["pem"]:
-            at = m.start("body")
+            at = hit[2]
         else:
-            at = m.end()
+            at = m.start() + 1
     return found
 
 
