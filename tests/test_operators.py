@@ -47,6 +47,20 @@ def test_staged_deduplication(spark):
     assert {r.kind for r in S.statistics(S.deduplicate(docs)).collect()} >= {"exact"}
 
 
+def test_quality_report_of_a_corpus_with_copies(spark, tmp_path):
+    from textloom.plans import quality
+
+    one, other = "A plain sentence about rivers and the towns that lie on their banks today. " * 4, "Nothing else here has these words, which makes this text stand alone now. " * 4
+    rows = [(1, one, "en"), (2, one, "en"), (3, other, "en"), (None, other[:-20], "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    scores = {r.doc_id: r for r in quality.quality_scores(spark, str(tmp_path)).collect()}
+    assert [scores[k].uniqueness for k in (1, 2, 3)] == [0.0, 0.0, 1.0]
+    report = quality.quality_report(spark, str(tmp_path)).first()
+    assert report.n == len(rows) and abs(report.mean - sum(r.overall for r in scores.values()) / len(rows)) < 2e-6
+    assert report.least == min(r.overall for r in scores.values())
+    assert {(r.severity, r.n) for r in quality.quality_issues(spark, str(tmp_path)).collect() if r.type == "uniqueness"} == {("high", 2)}
+
+
 def test_graphs(spark):
     edges = [(1, 2), (2, 3), (5, 6), (9, 9)]
     got = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}

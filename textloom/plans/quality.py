@@ -35,8 +35,9 @@ def quality_factors_plain(spark, sf):
 
 def scored(spark, sf):
     docs = table(spark, sf, "documents")
-    near = S.nearest(docs).select(F.col("id").alias("doc_id"), F.col("similarity").alias("near"))
-    return docs.join(near, "doc_id").select("doc_id", "lang", "near", Q.factors(F.col("text"), 1 - F.col("near")).alias("s"), Q.issues(F.col("text"), F.col("near")).alias("issues"))
+    near = S.nearest(docs).select(F.col("id").alias("doc_id"), F.col("similarity").alias("near")).where("doc_id IS NOT NULL").distinct()
+    all_docs = docs.join(near, "doc_id", "left").withColumn("near", F.coalesce("near", F.lit(0.0)))  # a row a document, without an id or with another's too
+    return all_docs.select("doc_id", "lang", "near", Q.factors(F.col("text"), 1 - F.col("near")).alias("s"), Q.issues(F.col("text"), F.col("near")).alias("issues"))
 
 
 @query("quality_scores")
@@ -46,13 +47,13 @@ def quality_scores(spark, sf):
 
 @query("quality_issues")
 def quality_issues(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(Q.issues(F.col("text"))).alias("i")).groupBy("i.type", "i.severity", "i.what").agg(F.count("*").alias("n"))
+    return scored(spark, sf).select("doc_id", F.explode("issues").alias("i")).groupBy("i.type", "i.severity", "i.what").agg(F.count("*").alias("n"))
 
 
 @query("quality_report")
 def quality_report(spark, sf):
     """Mean, bounds, population deviation, grades and shares of the overall score."""
-    s = table(spark, sf, "documents").select(Q.factors(F.col("text")).alias("s")).select(F.col("s.overall").alias("x"), Q.grade(F.col("s.overall")).alias("g"))
+    s = scored(spark, sf).select(F.col("s.overall").alias("x"), Q.grade(F.col("s.overall")).alias("g"))
     share = lambda *g: F.round(100 * F.count_if(F.col("g").isin(*g)) / F.count("*"), 4)
     return s.agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(F.stddev_pop("x"), 6).alias("deviation"), *(F.count_if(F.col("g") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"), share("A", "B").alias("high_quality"), share("D", "F").alias("low_quality"))
 
