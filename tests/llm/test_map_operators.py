@@ -82,15 +82,13 @@ def test_url_filter_on_held_out_urls(spark):
 
 def brute_spans(text, items):
     words = D.normalise(text)
-    marked = np.zeros(len(words) + 1, bool)
     cuts = []
     for item in {tuple(D.normalise(t)) for t in items if t}:
-        if len(item) < D.LEAST:
+        if not item:
             continue
         n = D.limit(len(item))
         grams = {item[k : k + n] for k in range(len(item) - n + 1)}
         cuts += [(i, i + n) for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in grams]
-    del marked
     return D.union(cuts)
 
 
@@ -110,9 +108,11 @@ def test_decontamination_against_ngrams(spark):
     got = rows(D.contaminated_spans(frame(spark, docs), bench), "doc_id", "start", "words")
     want = sorted(((i, a, b - a) for i, t in docs if t for a, b in brute_spans(t, items)), key=str)
     assert got == want and len(want) > 20
-    # so many automata that each holds one item
-    small = D.automata(bench, words=1)
-    assert len(small) > 5
+    # automata of a few words each: items in several, and items in pieces
+    assert len(list(D.automata(bench, words=30))) > 5
+    assert rows(D.contaminated_spans(frame(spark, docs), bench, words=30), "doc_id", "start", "words") == want
+    apart = D.remove_contamination(frame(spark, docs), bench, words=30)
+    assert sorted(map(str, apart.select("doc_id", "text").collect())) == sorted(map(str, D.remove_contamination(frame(spark, docs), bench).select("doc_id", "text").collect()))
     kept = {r.doc_id: r.text for r in D.remove_contamination(frame(spark, docs), bench).collect() if r.doc_id is not None and r.doc_id != 4}
     for i, t in docs:
         spans = brute_spans(t, items) if t else []
@@ -127,6 +127,30 @@ def test_decontamination_against_ngrams(spark):
             assert D.normalise(kept[i]) == [w for k, w in enumerate(D.normalise(t)) if k not in drop]
 
 
+TURKISH = "seven words are quite enough for this"
+
+
+@pytest.mark.parametrize(("text", "left"), [(f"İstanbul İzmir {TURKISH} and a tail", "İstanbul İzmir and a tail"), (f"Start İstanbul İzmir İçel İznik {TURKISH}", "Start İstanbul İzmir İçel İznik"), (f"{TURKISH.upper()}!", None), ("ΑΣ’Α ΟΔΟΣ " + TURKISH, "ΑΣ’Α ΟΔΟΣ"), ("ß ẞ ﬁ ŉ " * 3 + TURKISH + " ǰ", ("ß ẞ ﬁ ŉ " * 3).rstrip() + " ǰ")])
+def test_decontamination_of_letters_that_grow_in_lower_case(spark, text, left):
+    bench = spark.createDataFrame([(1, TURKISH)], "item_id long, text string")
+    docs = frame(spark, [(1, text)])
+    [span] = rows(D.contaminated_spans(docs, bench), "start", "words")
+    assert span == (len(D.WORD.findall(text.split("seven")[0].split("SEVEN")[0])), 7)
+    assert [r.text for r in D.remove_contamination(docs, bench).collect()] == ([] if left is None else [left])
+    import duckdb
+    import pandas as pd
+
+    documents, benchmark = pd.DataFrame({"doc_id": [1], "text": [text]}), pd.DataFrame({"item_id": [1], "text": [TURKISH]})  # noqa: F841
+    assert [(a, n) for _, a, n in duckdb.sql(D.oracle()).fetchall()] == [span]
+
+
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "Four words, no more"), (2, "!!")], "item_id long, text string")
+    docs = frame(spark, [(1, "so four words no more it is"), (2, "four words no"), (3, "FOUR words - no more")])
+    assert rows(D.contaminated_spans(docs, bench), "doc_id", "start", "words") == [(1, 1, 4), (3, 0, 4)]
+    assert {r.doc_id: r.text for r in D.remove_contamination(docs, bench).collect()} == {1: "so it is", 2: "four words no"}
+
+
 def test_decontamination_without_items_or_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, odd_rows())

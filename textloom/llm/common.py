@@ -16,17 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def out_schema(docs: DataFrame, id_col: str, schema: str) -> StructType:
+    """The id, of docs' own type, and the columns of schema."""
+    out = StructType().add("id", docs.schema[id_col].dataType)
+    for field in StructType.fromDDL(schema).fields:
+        out.add(field)
+    return out
+
+
 def per_document(docs: DataFrame, id_col: str, text_col: str, schema: str, f: Callable[[Iterator], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Run f over (id, text) batches in Arrow; only these two columns are read, whatever else docs holds.
 
     schema begins with the id, whose type is docs' own, so it lists only the columns after it.
     """
-    kind = docs.schema[id_col].dataType
-    out = StructType().add("id", kind)
-    for field in StructType.fromDDL(schema).fields:
-        out.add(field)
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(f, out).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(f, out_schema(docs, id_col, schema)).withColumnRenamed("id", id_col)
 
 
 def pieces(batch: pa.RecordBatch, max_chars: int = 2_000_000) -> Iterator[tuple[pa.Array, list]]:
