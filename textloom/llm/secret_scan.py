@@ -8,7 +8,9 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -17,23 +19,27 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import per_document, pieces
 
-#: Shannon bits a byte, as a share of what so few bytes can reach, that an opaque value needs at least.
-MIN_RANDOMNESS = 0.80
 MASK = "[{}]"
 
 # Each candidate begins where its class of characters does, so a long run is one candidate, whatever it holds.
 FORMS = (
-    r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]{0,40}PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s]*)-----END (?P=label)-----)",
-    r"(?P<jwt>(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)",
+    r"(?P<pem>-----BEGIN (?P<label>[A-Z0-9 ]{0,80}PRIVATE KEY)-----(?P<head>(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)(?P<body>[A-Za-z0-9+/=\s]*)-----END (?P=label)-----)",
+    r"(?P<jwt>(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*)",
     r"(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9]))",
-    r"(?i:(?P<name>password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_-]{12,}={0,2}))",
     r"(?P<blob>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2})",
 )
 CANDIDATES = re.compile("|".join(FORMS))
-PEM, JWT, AWS, ASSIGNED, BLOB = map(re.compile, FORMS)
-#: Every candidate has one of these, so a text without any is done with after the JVM's search.
-NEEDLES = r"PRIVATE KEY|(AKIA|ASIA)[A-Z2-7]{16}|(?i:passw|pwd|secret|token|key|auth)|[A-Za-z0-9+/_-]{40}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{4,}\."
+PEM, JWT, AWS, BLOB = map(re.compile, FORMS)
+#: Every structure that confirm() knows begins with one of these: a label, an id's prefix, the base64 of a JSON object, the base64 or hex of a DER sequence or of OpenSSH's magic. A text without any is done with after the JVM's search.
+NEEDLES = r"PRIVATE KEY-|A[KS]IA[A-Z2-7]{16}|(?<![A-Za-z0-9_-])e[w-z0-9_-][A-Za-z0-9_-]{6,}\.|(?<![A-Za-z0-9+/_-])(?:M[A-P]|30|b3Bl|6[fF]70)[A-Za-z0-9+/_-]{36}"
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
+#: Block sizes of the ciphers that a key file's DEK-Info names.
+BLOCKS = {"AES": 16, "CAMELLIA": 16, "ARIA": 16, "SEED": 16, "DES": 8, "BF": 8, "IDEA": 8, "RC2": 8}
+#: An opaque value in quotes or bare behind a name: no structure confirms it, so the scan doesn't report it; masking may include it.
+OPAQUE = re.compile(r"(?i:(?<![a-z])(?P<name>password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,20}[:=][ \t]{0,20}[\"']?(?P<value>[A-Za-z0-9+/_-]{12,}={0,2}))")
+NAMES = ("passw", "pwd", "secret", "token", "key", "auth")
+#: Shannon bits a byte, as a share of what so few bytes can reach, that an opaque value needs at least.
+MIN_RANDOMNESS = 0.80
 #: DER contents of the object identifiers of keys' algorithms: RSA, EC, Ed25519, X25519, DSA.
 KEY_OIDS = {bytes.fromhex("2a864886f70d010101"): "rsa", bytes.fromhex("2a8648ce3d0201"): "ec", bytes.fromhex("2b6570"): "ed25519", bytes.fromhex("2b656e"): "x25519", bytes.fromhex("2a8648ce380401"): "dsa"}
 
@@ -109,6 +115,22 @@ def signed_token(text: str) -> bool:
     return len(parts) == 3 and isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and bool(parts[2]) == (head["alg"].lower() != "none")
 
 
+def key_file(head: str, body: str) -> str | None:
+    """Kind of the key in a PEM body: its DER in order or, where a header says that it is encrypted, whole blocks of the cipher that the header names, with an initial vector of its size."""
+    data = decode("".join(body.split())) or b""
+    if not head.strip():
+        return private_key(data)
+    m = re.search(r"Proc-Type:\s*4,ENCRYPTED\s*\n\s*DEK-Info:\s*([A-Z0-9]+)[A-Z0-9-]*,\s*([0-9A-Fa-f]+)", head)
+    block = BLOCKS.get(m[1]) if m else None
+    return "encrypted" if block and len(m[2]) == 2 * block and data and len(data) % block == 0 else None
+
+
+def aws_key(candidate: str) -> bool:
+    """Whether the id's sixteen base32 digits hold, as such ids do, the number of an account: 40 bits behind the first that are below 10^12, and none of ten equal bytes."""
+    data = base64.b32decode(candidate[4:])
+    return (int.from_bytes(data[:6], "big") & 0x7FFFFFFFFF80) >> 7 < 10**12 and len(set(data)) > 1
+
+
 def random_bytes(data: bytes) -> bool:
     """Whether the bytes are as mixed as chance would make them, not a word, a counter or a repeated pattern."""
     n = len(data)
@@ -118,32 +140,14 @@ def random_bytes(data: bytes) -> bool:
     return entropy >= MIN_RANDOMNESS * min(8.0, log2(n))
 
 
-def token_at(text: str, start: int) -> tuple[str, int, int] | None:
-    """(kind, start, end) of the signed token that begins there."""
-    m = JWT.match(text, start)
-    return ("signed-token", *m.span()) if m and signed_token(m["jwt"]) else None
-
-
 def confirm(text: str, start: int) -> tuple[str, int, int] | None:
-    """(kind, start, end) of the first form of candidate that begins there, or in a name's value, and whose structure holds."""
-    if m := PEM.match(text, start):
-        if kind := private_key(decode("".join(m["body"].split())) or b""):
-            return f"private-key:{kind}", *m.span()
-    if hit := token_at(text, start):
-        return hit
-    if (m := AWS.match(text, start)) and len(set(base64.b32decode(m["aws"][4:]))) > 4:
+    """(kind, start, end) of the first form of candidate that begins there and whose structure holds."""
+    if (m := PEM.match(text, start)) and (kind := key_file(m["head"], m["body"])):
+        return f"private-key:{kind}", *m.span()
+    if (m := JWT.match(text, start)) and signed_token(m["jwt"]):
+        return "signed-token", *m.span()
+    if (m := AWS.match(text, start)) and aws_key(m["aws"]):
         return "aws-key-id", *m.span()
-    if m := ASSIGNED.match(text, start):
-        value = m["value"]
-        # The value has no dots, so a token's header would pass for all of it; a token may also be the last part of a path.
-        if hit := token_at(text, m.start("value") + max(value.rfind("/"), value.rfind("+")) + 1):
-            return hit
-        data = decode(value)
-        if data is not None and any(c.isdigit() for c in value):
-            if kind := private_key(data):
-                return f"private-key:{kind}", *m.span("value")
-            if random_bytes(data):
-                return f"assigned:{m['name'].lower().replace('-', '_')}", *m.span("value")
     if (m := BLOB.match(text, start)) and (data := decode(m["blob"])) is not None and (kind := private_key(data)):
         return f"private-key:{kind}", *m.span()
     return None
@@ -165,8 +169,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def opaque(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of values assigned to a name of a secret whose decoded bytes are mixed as chance would, and which have no structure that could confirm them."""
+    found, at = [], 0
+    while m := OPAQUE.search(text, at):
+        data = decode(m["value"])
+        if data is not None and any(c.isdigit() for c in m["value"]) and random_bytes(data):
+            found.append((f"unconfirmed:{m['name'].lower().replace('-', '_')}", *m.span("value")))
+            at = m.end()
+        else:
+            at = m.end("name")
+    return found
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, start, length) of each confirmed secret, with offsets in characters; the secret itself isn't copied.
+    """(id, kind, start, length) of each secret whose structure is confirmed, with offsets in characters; the secret itself isn't copied.
 
     Documents without any, with a null or an empty text give no row; repeated rows give theirs again. Other columns are
     ignored. Map-only; the JVM drops texts that can hold no candidate before any reaches Python.
@@ -187,25 +204,34 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_document(possible, id_col, text_col, "kind string, start long, length long", f)
 
 
-def redact(text: str) -> str:
-    """text with [kind] in place of each confirmed secret."""
+def redact(text: str, unconfirmed: bool = False) -> str:
+    """text with [kind] in place of each confirmed secret and, if asked for, of each opaque value outside these."""
+    hits = find(text)
+    if unconfirmed:
+        hits = sorted([*hits, *(o for o in opaque(text) if not any(o[1] < h[2] and h[1] < o[2] for h in hits))], key=lambda h: h[1])
     out, at = [], 0
-    for kind, start, end in find(text):
+    for kind, start, end in hits:
         out += [text[at:start], MASK.format(kind)]
         at = end
     return "".join(out) + text[at:] if out else text
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", unconfirmed: bool = False) -> DataFrame:
     """docs with secrets replaced by [kind] in text_col and nothing else changed; no row is dropped, nulls stay null.
 
-    Only texts that may hold a candidate are searched in Python, inside one Arrow function; other columns never leave the JVM.
+    With unconfirmed, opaque values that are assigned to a secret's name are masked too, as [unconfirmed:name]. Only texts
+    that may hold a candidate are searched in Python, inside one Arrow function; other columns never leave the JVM. Repeated
+    rows are treated alike, an empty table stays empty.
     """
     text = F.col(f"`{text_col}`").cast("string")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t) if t else t)
+        return texts.map(lambda t: redact(t, unconfirmed) if t else t)
 
+    possible = text.rlike(NEEDLES)
+    if unconfirmed:
+        low = F.lower(text)
+        possible = possible | reduce(or_, (F.contains(low, F.lit(n)) for n in NAMES))
     # The search runs once: what it passes over comes back as null and stays as it was.
-    return docs.withColumn(text_col, F.coalesce(clean(F.when(text.rlike(NEEDLES), text)), text))
+    return docs.withColumn(text_col, F.coalesce(clean(F.when(possible, text)), text))
