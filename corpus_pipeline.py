@@ -28,8 +28,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each confirmed secret replaced by its kind."""
-    return with_length(secret_scan.redact_secrets(docs))
+    """All documents, with each confirmed secret replaced by its kind, and opaque values assigned to a secret's name masked as unconfirmed."""
+    return with_length(secret_scan.redact_secrets(docs, unconfirmed=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
