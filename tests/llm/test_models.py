@@ -1,6 +1,7 @@
 """PII, toxicity, BPE: held-out accuracy, gradients, exact round trips."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -48,15 +49,111 @@ def test_pii_viterbi_is_the_best_path():
     assert tuple(model.best(x)[0]) == max(product(range(P.TAGS), repeat=3), key=worth)
 
 
+def test_pii_fast_scores_are_the_networks(tagger):
+    x = np.random.default_rng(2).integers(0, P.CLASSES, (9, 70)).astype(np.int16)
+    assert np.allclose(tagger.run(x)[0].transpose(1, 2, 0), tagger.scores(x), atol=1e-3)
+
+
+def brute_viterbi(model, codes):
+    scores = model.run(codes[None])[0][0].astype(np.float64)
+    at, back = model.first + scores[0], []
+    for row in scores[1:]:
+        step = at[:, None] + model.move
+        back.append(step.argmax(0))
+        at = step.max(0) + row
+    y = [int((at + model.last).argmax())]
+    for b in reversed(back):
+        y.append(int(b[y[-1]]))
+    return y[::-1]
+
+
+def worth(spans, rooms):
+    return sum(1 + P.OVERLAP * rooms[s] for s in spans), sum(b - a for a, b, _ in spans)
+
+
+def brute_reconcile(found):
+    """The best of all sets of disjoint spans, by its worth."""
+    rooms = {}
+    for a, b, k, room, _ in found:
+        rooms[a, b, k] = max(rooms.get((a, b, k), 0), room)
+    sets = (c for n in range(len(rooms) + 1) for c in combinations(sorted(rooms), n))
+    return max((worth(c, rooms) for c in sets if all(x[1] <= y[0] or y[1] <= x[0] for x, y in combinations(c, 2))), default=(0, 0)), rooms
+
+
+def test_pii_reconciliation_is_the_best_set():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = []
+        for w in range(rng.randrange(7)):
+            a = rng.randrange(40)
+            found.append((a, a + rng.randrange(1, 12), rng.randrange(2), rng.randrange(1, 9), w))
+        best, rooms = brute_reconcile(found)
+        assert worth(P.reconcile(found), rooms) == best
+    # cut off on both sides of an edge, and seen whole by another window
+    assert P.reconcile([(5, 10, 0, 0, 1), (10, 14, 0, 0, 2)]) == [(5, 14, 0)]
+    assert P.reconcile([(5, 10, 0, 0, 1), (10, 14, 0, 0, 2), (5, 14, 0, 7, 3)]) == [(5, 14, 0)]
+
+
+def test_pii_query_against_brute_force(spark, tagger):
+    rng = random.Random(4)
+    lines = [t for t, _ in P.labelled(40, 77)]
+    texts = ["\n".join(rng.sample(lines, rng.randrange(1, 9))) for _ in range(25)] + [prose(rng, 500), "", None, "jo.12@mail3.example.com " * 60]
+    docs = frame(spark, [*enumerate(texts), (3, texts[3]), (None, texts[0])])
+    want = []
+    for i, t in [*enumerate(texts), (3, texts[3]), (None, texts[0])]:
+        found = []
+        for w, (a, b) in enumerate(P.windows(0, len(t)) if t else []):
+            y = [0, *brute_viterbi(tagger, P.classes(t[a:b])), 0]
+            edges = [k for k in range(1, len(y)) if y[k] != y[k - 1]]
+            for s, e in zip(edges, edges[1:]):
+                if y[s]:
+                    found.append((a + s - 1, a + e - 1, y[s] - 1, min(P.WINDOW if a == 0 else s - 1, P.WINDOW if b == len(t) else b - a - e + 1), w))
+        want += [(i, P.KINDS[k], a, b - a) for a, b, k in P.reconcile(found)]
+    got = [tuple(r) for r in P.find_pii(docs, tagger).select("doc_id", "kind", "start", "length").collect()]
+    assert len(want) > 60 and len(set(got) ^ set(want)) <= 0.02 * len(want)  # padding behind a shorter window moves a score now and then
+    assert sum(i == 3 for i, *_ in got) % 2 == 0
+
+
 def test_pii_held_out(tagger):
     rows = P.labelled(800, 999)
     found = P.tag(tagger, [t for t, _ in rows])
     right = sum(len(set(f) & set(g)) for f, (_, g) in zip(found, rows, strict=True))
-    assert right / sum(map(len, found)) >= 0.95 and right / sum(len(g) for _, g in rows) >= 0.95
+    assert right / sum(map(len, found)) >= 0.98 and right / sum(len(g) for _, g in rows) >= 0.98
+
+
+#: Written by hand, not by the generator: text, spans.
+LINES = [
+    ("Please write to info@kiosk.shop before Friday.", ["info@kiosk.shop"]), ("Contact: maria.lopez-garcia@correo.empresa.mx (sales)", ["maria.lopez-garcia@correo.empresa.mx"]), ("The gateway 10.0.0.1 answers, the server at 192.168.1.20 does not.", ["10.0.0.1", "192.168.1.20"]),
+    ("Call 020 7946 0958 during office hours", ["020 7946 0958"]), ("Tel. 0171 2345678, Fax 0171 2345679", ["0171 2345678", "0171 2345679"]), ("ISBN 978-3-16-148410-0, 2nd edition, 2019, pp. 12-48.", []), ("Her social security number is 078-05-1120.", ["078-05-1120"]),
+    ("IBAN: DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]), ("Transfer to GB29NWBK60161331926819 by Monday.", ["GB29NWBK60161331926819"]), ("Visa 4111 1111 1111 1111 exp 12/27", ["4111 1111 1111 1111"]), ("card no. 5500000000000004; amount $1,299.00", ["5500000000000004"]),
+    ("Version 2.10.3 was released on 2024-03-18 at 14:05:22.", []), ("See https://docs.python.org/3/library/re.html#re.match for details", []), ("+49 30 901820 is the number of the town hall", ["+49 30 901820"]), ("Ring me on +1 (415) 555-2671 or email bob@example.com!", ["+1 (415) 555-2671", "bob@example.com"]),
+    ("The population grew from 1,204,000 in 1990 to 3,400,250 in 2010.", []), ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes #1234", []), ("In 1066 the Normans, led by William, crossed the Channel.", []), ("Order 4503599627 shipped; tracking 1Z999AA10123456784", []),
+    ("jean-pierre.dupont@univ-lyon1.fr, 04 72 44 80 00", ["jean-pierre.dupont@univ-lyon1.fr", "04 72 44 80 00"]), ("My email is anna_k92@mail.ru and hers is olga@yandex.ru.", ["anna_k92@mail.ru", "olga@yandex.ru"]), ("3.14159 times 2 is 6.28318", []), ("Room B-204, floor 2, 10:30-11:45", []),
+    ("import os; print(os.environ['HOME']) # TODO @alice", []), ("call (212) 555-0147 ext. 9", ["(212) 555-0147"]), ("from 8.8.8.8 to 1.1.1.1 in 12 ms", ["8.8.8.8", "1.1.1.1"]), ("Amex 3782 822463 10005", ["3782 822463 10005"]), ("Section 4.2.1.3 describes the protocol", []),
+    ("Привет, мой адрес ivan.petrov@example.com, звоните +7 495 123-45-67", ["ivan.petrov@example.com", "+7 495 123-45-67"]), ("a@b is not an address, nor is @handle or user@", []),
+]
+
+
+def test_pii_of_lines_written_by_hand(tagger):
+    found = [[t[a:b] for a, b, _ in f] for (t, _), f in zip(LINES, P.tag(tagger, [t for t, _ in LINES]), strict=True)]
+    right = sum(len(set(f) & set(g)) for f, (_, g) in zip(found, LINES, strict=True))
+    assert right / sum(map(len, found)) >= 0.8 and right / sum(len(g) for _, g in LINES) >= 0.7
+
+
+def test_pii_leaves_prose_alone(tagger):
+    rng = random.Random(5)
+    texts = [prose(rng, 400) for _ in range(40)] + ["ünïcödé 漢字 \U0001f600 " * 100, "слово и слово " * 80]
+    assert sum(map(len, P.tag(tagger, texts))) <= 1
+
+
+def test_pii_learns():
+    x, y = P.samples(P.labelled(200, 6), 64, 1)
+    loss = [P.fit(P.labelled(1500, 5), ((n, 64, 64),)).learn(x, y)[0] for n in (0, 3)]
+    assert loss[1] < 0.5 * loss[0]
 
 
 def test_pii_windows_cover_and_agree(tagger):
-    for a, b in ((0, 1), (0, 64), (5, 133), (0, 129), (0, 1000)):
+    for a, b in ((0, 1), (0, 64), (5, 133), (0, 513), (0, 2000)):
         w = P.windows(a, b)
         assert w[0][0] == a and w[-1][1] == b and all(y[0] == x[0] + P.WINDOW - P.OVERLAP for x, y in zip(w, w[1:])) and all(e - s <= P.WINDOW for s, e in w)
     rng = random.Random(2)
@@ -67,12 +164,15 @@ def test_pii_windows_cover_and_agree(tagger):
 
 
 def test_pii_of_odd_rows(spark, tagger):
-    docs = frame(spark, [*odd_rows(), (9, "mail jo.12@mail3.example.com or call +1 (212) 555-0199 now")])
-    got = sorted((r.kind, r.start, r.length) for r in P.find_pii(docs, tagger).where("doc_id = 9").collect())
-    assert got == [("email", 5, 23), ("phone", 37, 17)]
+    line = "mail jo.12@mail3.example.com or call +1 (212) 555-0199 now"
+    long = prose(random.Random(7), 30_000)
+    docs = frame(spark, [*odd_rows(), (9, line), (10, line), (10, line), (11, f"{long} {line}"), (None, line), (12, f"ünïcödé 漢字 \U0001f600 {line}")])
+    got = sorted((r.doc_id or 0, r.kind, r.start, r.length) for r in P.find_pii(docs, tagger).where("doc_id IS NULL OR doc_id > 8").collect())
+    one = lambda i, at: [(i, "email", at + 5, 23), (i, "phone", at + 37, 17)]
+    assert got == sorted(one(0, 0) + one(9, 0) + 2 * one(10, 0) + one(11, len(long) + 1) + one(12, 13))
     assert P.find_pii(docs, tagger).where("doc_id < 6").count() == 0 and P.find_pii(frame(spark, []), tagger).count() == 0
     masked = P.mask_pii(docs, tagger)
-    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert masked.columns == docs.columns and masked.count() == docs.count() and masked.where("text IS NULL").count() == 2
     assert masked.where("doc_id = 9").first().text == "mail [email] or call [phone] now"
 
 
