@@ -170,7 +170,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     docs_df, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
 
     chain = toxicity.train(docs_df, labels)
-    left = [(i, t) for i, t, *_ in rows if t is None or chain.probabilities(chain.row(t)[None])[0, -1] <= toxicity.THRESHOLD]
+    left = [(i, t) for i, t, *_ in rows if t is None or chain.probabilities(chain.row(t)[None])[0, toxicity.REJECTS] <= toxicity.THRESHOLD]
     assert {i for i, t, *_ in rows} - {i for i, _ in left} == {i for i, t in enumerate(docs) if "stupid clown" in t}
     gone = groups_of(brute_pairs(left))
     left = [(i, t) for i, t in left if i not in gone]

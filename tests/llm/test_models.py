@@ -188,18 +188,55 @@ def toxic_rows(n, seed):
         if k % 3 == 0:
             for _ in range(rng.randrange(1, 4)):
                 words.insert(rng.randrange(len(words)), rng.choice(insults))
-        out.append((" ".join(words), int(k % 3 == 0)))
+        low = k % 5 == 0
+        if low:
+            words += ["click", "here"] * 3
+        out.append((" ".join(words), int(low), int(k % 3 == 0)))
     return out
 
 
 def test_toxicity_held_out():
     chain = X.fit(toxic_rows(400, 1))
     test = toxic_rows(200, 2)
-    p = chain.probabilities(np.array([chain.row(t) for t, _ in test]))
-    y = np.array([y for _, y in test])
-    assert ((p[:, -1] > X.THRESHOLD) == y).mean() >= 0.98
+    p = chain.probabilities(np.array([chain.row(t) for t, *_ in test]))
+    labels = np.array([X.categories(low, toxic) for _, low, toxic in test])
+    assert ((p > X.THRESHOLD) == labels).mean(axis=0).min() >= 0.97
     k = len(chain.weights[0])
     assert [len(w) for w in chain.weights] == [k, k + 1, k + 2]  # later links see the earlier ones
+    slow = []
+    for t, *_ in test[:20]:
+        x, given = chain.row(t).astype(np.float64), []
+        for w in chain.weights:
+            given.append(1 / (1 + np.exp(-(sum(a * b for a, b in zip([*x, *given], w[:-1], strict=True)) + w[-1]))))
+        slow.append(given)
+    assert np.allclose(slow, p[:20], atol=1e-4)
+
+
+def test_toxicity_without_leaks(monkeypatch):
+    """Terms that tell a fold's rows apart by chance reach no prediction for that fold: on labels drawn at random, out-of-fold probabilities say nothing."""
+    rng = random.Random(9)
+    rows = [(prose(rng, 40), rng.randrange(2), rng.randrange(2)) for _ in range(300)]
+    monkeypatch.setattr(X, "SURE", 0.5)
+    taken = []
+    real = X.fit_logistic
+    monkeypatch.setattr(X, "fit_logistic", lambda x, y, decay=1.0: taken.append((x, y)) or real(x, y, decay))
+    X.fit(rows)
+    x, y = next((x, y) for x, y in taken[X.FOLDS + 1 :] if len(y) == len(rows))  # the toxic link's own inputs; the last is the out-of-fold probability of low quality
+    low = np.array([low for _, low, _ in rows])
+    assert np.corrcoef(x[:, -1], low)[0, 1] < 0.15
+    assert len({X.fold_of(t, 5) for t in ("Some words, here", "some WORDS here!")}) == 1
+
+
+def test_toxicity_query_against_plain_python(spark):
+    rows = [*toxic_rows(120, 4), ("", 0, 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - low, toxic) for i, (_, low, toxic) in enumerate(rows) if i % 4], "doc_id long, quality int, toxic int")
+    chain = X.train(docs, labels)
+    same = X.fit(X.labelled_rows(docs, labels))
+    assert sorted(X.labelled_rows(docs, labels)) == sorted((t, low, toxic) for i, (t, low, toxic) in enumerate(rows) if i % 4)
+    assert chain.terms == same.terms and all(np.allclose(a, b) for a, b in zip(chain.weights, same.weights, strict=True))
+    want = {i for i, (t, *_) in enumerate(rows) if chain.probabilities(chain.row(t)[None])[0, X.REJECTS] > X.THRESHOLD}
+    assert {r.doc_id for r in X.toxic_documents(docs, chain).collect()} == want and want
 
 
 def test_toxicity_of_odd_rows(spark):
@@ -215,7 +252,7 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_toxicity_without_labels(spark):
     docs = frame(spark, odd_rows())
-    labels = spark.createDataFrame([(1, None), (4, 0), (None, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(1, None, 1), (4, 0, None), (None, 1, 0)], "doc_id long, toxic int, quality int")
     assert X.toxic_documents(docs, X.train(docs, labels)).count() == 0
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -15,16 +16,16 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import per_document, pieces
 
-#: The chain, in order. The table has one label, toxic; the earlier categories are drawn from it and from the terms that set toxic rows apart.
-CATEGORIES = ("lexical", "repeated", "toxic")
+#: The chain, in order, made of the two columns of labels: low quality, toxic, and both at once.
+CATEGORIES = ("low_quality", "toxic", "severe")
 #: Labelled rows of each class that are used, at most: those whose ids hash lowest.
 SAMPLE_PER_CLASS = 2000
-#: Terms kept, letters of the stems that count as terms, folds for the out-of-fold predictions.
-TERMS, STEMS, FOLDS = 1024, (4, 5, 6, 7, 8), 5
+#: Terms kept for each label, letters of the stems that count as terms, folds for the out-of-fold predictions.
+TERMS, STEMS, FOLDS = 512, (4, 5, 6, 7, 8), 5
 #: Half a log-likelihood ratio that a term needs (chance alone gives it about once in 16,000), or long clean texts gather terms that only look abusive.
 SURE = 8.0
-#: A document whose probability of the last category is higher is rejected.
-THRESHOLD = 0.5
+#: A document whose probability of being toxic is higher is rejected.
+THRESHOLD, REJECTS = 0.5, CATEGORIES.index("toxic")
 WORD = re.compile(r"\w+")
 
 
@@ -76,7 +77,6 @@ class Chain:
 
     terms: dict[str, int]
     weights: list[np.ndarray]
-    abusive: set[str]
 
     def __post_init__(self) -> None:
         self.heads = {t.rstrip("*")[: STEMS[0]] for t in self.terms}
@@ -104,26 +104,17 @@ class Chain:
         return out
 
 
-def categories(terms: Counter, toxic: int, abusive: set[str]) -> tuple[int, int, int]:
-    """Labels of a row: toxic with an abusive term, toxic with three or more occurrences of them, toxic."""
-    hits = sum(terms[t] for t in abusive if t in terms)
-    return int(toxic and hits >= 1), int(toxic and hits >= 3), int(toxic)
+Row = tuple[str, int, int]
 
 
-def fit(rows: list[tuple[str, int]], n_terms: int = TERMS, folds: int = FOLDS, decay: float = 1.0) -> Chain:
-    """Fit the chain to (text, toxic) rows.
+def categories(low: int, toxic: int) -> tuple[int, int, int]:
+    return low, toxic, low * toxic
 
-    Terms are the n_terms with the greatest log-likelihood ratio against toxic. Each link is fitted to the terms and to the
-    earlier links' out-of-fold probabilities, so a later link sees an earlier one as unsure as it is on new text; the links
-    kept are then fitted to all rows. Without rows of both classes the chain rejects nothing.
-    """
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
-    for text, y in rows:
-        seen[y].update(terms_of(text).keys())
-        total[y] += 1
+
+def telling(seen: tuple[Counter, Counter], total: list[int], n_terms: int) -> list[str]:
+    """The n_terms that rows of class 1 have more often, with the greatest log-likelihood ratio against the class. seen: rows of each class with a term; total: rows of each."""
     if not all(total):
-        return Chain({}, [np.array([0.0] * i + [-40.0]) for i in range(len(CATEGORIES))], set())
+        return []
 
     def ratio(t: str) -> float:
         a, b = seen[1][t], seen[0][t]
@@ -134,37 +125,76 @@ def fit(rows: list[tuple[str, int]], n_terms: int = TERMS, folds: int = FOLDS, d
 
     common = [t for t, k in seen[1].items() if k >= 3 and k / total[1] > 2 * seen[0][t] / total[0]]
     worth = {t: r for t in common if (r := ratio(t)) >= SURE}
-    ranked = sorted(worth, key=lambda t: (-worth[t], t))[:n_terms]
-    abusive = {t for t in ranked[: n_terms // 4] if seen[0][t] / total[0] * 20 < seen[1][t] / total[1]}
-    chain = Chain({t: i for i, t in enumerate(ranked)}, [], abusive)
-    x = np.array([chain.row(t) for t, _ in rows], np.float32)
-    labels = np.array([categories(terms_of(t), y, abusive) for t, y in rows], np.float64)
-    fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
+    return sorted(worth, key=lambda t: (-worth[t], t))[:n_terms]
+
+
+def fold_of(text: str, folds: int) -> int:
+    """The fold of a text: copies, whatever their case and signs, share one, so that none is predicted from another."""
+    return int.from_bytes(blake2b(" ".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass"), digest_size=4).digest()) % folds
+
+
+def fit(rows: list[Row], n_terms: int = TERMS, folds: int = FOLDS, decay: float = 1.0) -> Chain:
+    """Fit the chain to (text, low quality, toxic) rows.
+
+    Each link is fitted to the terms and to the earlier links' out-of-fold probabilities, so a later link sees an earlier one
+    as unsure as it is on new text. What makes these has seen nothing of the fold: its terms, too, are chosen on the other
+    folds alone. The links kept are fitted to all rows, with terms chosen on all. Without rows of both toxic classes the
+    chain rejects nothing.
+    """
+    none = Chain({}, [np.array([0.0] * i + [-40.0]) for i in range(len(CATEGORIES))])
+    if len({toxic for _, _, toxic in rows}) < 2:
+        return none
+    fold = np.array([fold_of(t, folds) for t, _, _ in rows])
+    labels = np.array([categories(low, toxic) for _, low, toxic in rows], np.float64)
+    seen = [[[Counter(), Counter()] for _ in range(2)] for _ in range(folds)]  # by fold, label and class
+    for (text, *ys), k in zip(rows, fold.tolist(), strict=True):
+        found = terms_of(text).keys()
+        for c, y in enumerate(ys):
+            seen[k][c][y].update(found)
+
+    def chosen(without: int | None) -> list[str]:
+        out: dict[str, None] = {}
+        for c in range(2):
+            total = [int(np.sum((labels[:, c] == y) & (fold != (-1 if without is None else without)))) for y in (0, 1)]
+            both = tuple(sum((seen[k][c][y] for k in range(folds) if k != without), Counter()) for y in (0, 1))
+            out |= dict.fromkeys(telling(both, total, n_terms))
+        return sorted(out)
+
+    by_fold, final = [chosen(k) for k in range(folds)], chosen(None)
+    every = Chain({t: i for i, t in enumerate(sorted({*final, *(t for ts in by_fold for t in ts)}))}, [])
+    x = np.array([every.row(t) for t, _, _ in rows], np.float32)
+
+    def inputs(terms: list[str]) -> np.ndarray:
+        at = [every.terms[t] for t in terms]
+        return x[:, [*at, *(len(every.terms) + i for i in at)]]
+
+    chain, own = Chain({t: i for i, t in enumerate(final)}, []), inputs(final)
+    earlier = np.zeros((len(rows), 0), np.float32)
     for c in range(len(CATEGORIES)):
-        given, y = np.hstack([x, earlier]), labels[:, c]
-        held = np.zeros(len(rows))
+        y, held = labels[:, c], np.zeros(len(rows))
         for k in range(folds):
             if (part := fold != k).any() and (~part).any():
+                given = np.hstack([inputs(by_fold[k]), earlier])
                 w = fit_logistic(given[part], y[part], decay)
                 held[~part] = sigmoid(given[~part] @ w[:-1] + w[-1])
-        chain.weights.append(fit_logistic(given, y, decay))
-        earlier = np.hstack([earlier, held[:, None]])
+        chain.weights.append(fit_logistic(np.hstack([own, earlier]), y, decay))
+        earlier = np.hstack([earlier, held[:, None]]).astype(np.float32)
     return chain
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, int]]:
-    """(text, 0 or 1) of at most per_class rows a class, those whose ids hash lowest; null texts and labels are left out."""
-    y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    y = y.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", quality_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> list[Row]:
+    """(text, low quality, toxic) of at most per_class rows a toxic class, those whose ids hash lowest; null texts and toxic labels are left out, a null quality isn't low."""
+    low = F.coalesce((F.col(f"`{quality_col}`").cast("int") == 0).cast("int"), F.lit(0))
+    y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{toxic_col}`").cast("int").alias("y"), low.alias("low")).where("id IS NOT NULL AND y IN (0, 1)")
+    y = y.groupBy("id").agg(F.max("y").alias("y"), F.max("low").alias("low")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
     # A bound of the hash for each class lets about 1.5 times as many through, so that few rows are left to rank.
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bounds = {k: -(2**63) + min(2**64 - 1, 2**64 * (per_class * 3 // 2 + 100) // n[k]) for k in n}
     y = y.where(F.col("h") <= F.when(F.col("y") == 1, F.lit(bounds.get(1, 0))).otherwise(F.lit(bounds.get(0, 0))))
-    picked = y.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("r") <= per_class).select("id", "y", "h")
+    picked = y.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("r") <= per_class).select("id", "y", "low", "h")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    found = texts.join(F.broadcast(picked), "id").select("h", "text", "y").toArrow().to_pylist()  # picked has 2 * per_class rows at most
-    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["h"], r["text"]))]
+    found = texts.join(F.broadcast(picked), "id").select("h", "text", "low", "y").toArrow().to_pylist()  # picked has 2 * per_class rows at most
+    return [(r["text"], r["low"], r["y"]) for r in sorted(found, key=lambda r: (r["h"], r["text"], r["low"], r["y"]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Chain:
@@ -172,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, p_lexical, p_repeated, p_toxic) of each row, from the whole text. A null text has them null; an empty one is scored
+    """(id, p_low_quality, p_toxic, p_severe) of each row, from the whole text. A null text has them null; an empty one is scored
     by the biases. Repeated rows are scored alike, an empty table gives an empty one, other columns are ignored. Map-only."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +222,14 @@ def toxic_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that are rejected. Each row is judged by its own text, so ids may be null or repeated. No join, no shuffle."""
+    """docs without the rows that are rejected. Each row is judged by its own text, so ids may be null or repeated. No join, no shuffle. Repeated rows are judged alike, an empty table stays empty."""
+
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(texts), 512):
             x = np.array([chain.row(t or "") for t in texts.iloc[at : at + 512]])
-            out.append(chain.probabilities(x)[:, -1] <= threshold)
+            out.append(chain.probabilities(x)[:, REJECTS] <= threshold)
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     text = F.col(f"`{text_col}`").cast("string")

@@ -21,14 +21,14 @@ HOST, PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", r"^[A-Za-z]
 LABELLED: list[tuple[str, int]] = [
     *((u, 1) for u in """
 http://spam-links.example.com/buy/now http://www.link-farm.example.net/a/1 https://best-spam.example.org/x/22 http://content-farm.example.com/page/3
-https://m.casino-royal.example.com/play http://casino-online.example.net/slots/7 https://www.win-casino.example.org/bonus http://big-win.example.com/jackpot
-https://free-bets.example.net/odds http://bets-today.example.org/en/12 https://www.sport-bets.example.com/live http://freebet-tips.example.net/fr/8
-http://cheap-pills.example.net/order https://pills-online.example.com/de/4 http://www.buy-pills.example.org/rx https://cheap-meds.example.com/es/9
-https://adult-cams.example.com/v/1 http://www.adult-x.example.org/en/6 https://blog.adult-video.example.com/fr/3 http://xxx-adult.example.net/a
-http://ads-server.example.com/click https://m.ads-track.example.org/en/5 http://track-click.example.net/de/44 https://www.ads-network.example.com/imp
+https://m.casino-royal.example.com/play http://casino-online.example.net/slots/7 https://www.grand-casino.example.org/bonus http://big-win.example.com/jackpot
+https://free-spins.example.net/odds http://bets-today.example.org/en/12 https://www.sport-bets.example.com/live http://freebet-tips.example.net/fr/8
+http://diet-pills.example.net/order https://pills-online.example.com/de/4 http://www.buy-pills.example.org/rx https://cheap-meds.example.com/es/9
+https://adult-cams.example.com/v/1 http://www.adult-dating.example.org/en/6 https://blog.adult-video.example.com/fr/3 http://xxx-adult.example.net/a
+http://ads-server.example.com/click https://m.ads-banner.example.org/en/5 http://track-click.example.net/de/44 https://www.ads-network.example.com/imp
 https://poker-win.example.org/table http://www.slots-free.example.com/spin https://loans-cheap.example.net/apply http://m.cheap-loans.example.com/es/71
-http://cheap-watches.example.org/shop https://free-ringtones.example.com/dl http://spam-farm.example.net/fr/10 https://farm-spam.example.com/en/230
-http://casino-win.example.org/en/17 https://www.free-bets.example.org/de/910 http://blog.cheap-pills.example.net/en/87 http://adult-x.example.com/es/64
+http://cheap-watches.example.org/shop https://free-ringtones.example.com/dl http://spam-site.example.net/fr/10 https://server-farm-ads.example.com/en/230
+http://casino-bonus.example.org/en/17 https://www.online-bets.example.org/de/910 http://blog.discount-pills.example.net/en/87 http://adult-chat.example.com/es/64
 """.split()),
     *((u, 0) for u in """
 http://www.library.example.org/catalogue/12 https://news.example.com/2021/05/story https://blog.gardening.example.net/en/spring https://docs.example.org/en/latest/install
