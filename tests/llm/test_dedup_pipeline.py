@@ -188,6 +188,32 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert not any(x in texts for x in items) and keys["signed-token"] not in texts
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in each column, empty and long texts, rows that share an id or all they have, and columns with names that the operators use inside."""
+    extra = frame(spark, [*odd_rows(), (9, "word"), (5, "word"), (None, "nameless words stay here")])
+    at = str(tmp_path / "odd")
+    extra.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, None, 1), (4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "!!")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, at).collect()
+    # of the four rows "word" one is left, of those with the id 5 none; those without an id all stay
+    assert sorted(str(r.doc_id) for r in got) == sorted(["1", "2", "3", "4", "6", "7", "8", "None", "None", "None"])
+    tokens = {r.doc_id: r.tokens for r in got}
+    assert tokens[1] is None and tokens[2] == [] and len(tokens[6]) > 60_000
+    for name, rows, schema in (("documents", [], "doc_id long, text string"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ties_among_rows_that_share_an_id(spark):
+    """The row that stays doesn't depend on the order in which they come."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "same text", f"s{k}") for k in range(20)] + [(2, "other words", "x")], "doc_id long, text string, source string")
+    kept = [S.drop_near_duplicates(d.withColumnRenamed("doc_id", "doc.id"), "doc.id").collect() for d in (df, df.orderBy(F.desc("source")).repartition(3))]
+    assert sorted(kept[0]) == sorted(kept[1]) and len(kept[0]) == 2
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     rows = [(i, f"{prose(random.Random(i), 40)}", "en", "s", 1) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
