@@ -342,13 +342,37 @@ def test_languages_on_held_out_rows(spark):
     assert sum(r.predicted == r.lang for r in got) / len(got) >= 0.95
 
 
-def test_language_bundles_by_brute_force():
-    e, letters = G.Encoder(), G.letter_vectors()
-    total = np.zeros(G.DIM)
-    s = [0, *(G.TABLE[ord(c)] for c in "schön la"), 0]
+def brute_bundle(text):
+    letters, total = G.letter_vectors(), np.zeros(G.DIM)
+    vector = lambda s: letters[s] if s < G.SYMBOLS else G.other_vector(s)
+    words = re.findall(r"[^\W\d_]+", text)
+    s = [0]
+    for w in words:
+        s += [G.LETTERS.index(c.lower()) + 1 if c.lower() in G.LETTERS else G.SYMBOLS + ord(c.lower()) for c in w] + [0]
     for a, b, c in zip(s, s[1:], s[2:]):
-        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c].astype(int)
-    assert np.array_equal(e.bundle(*e.counts("SCHÖN, 42 la")), total)
+        total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c).astype(int)
+    return total
+
+
+def test_language_bundles_by_brute_force():
+    e = G.Encoder()
+    for text in ("SCHÖN, 42 la", "Слово и дело, 7 words", "漢字かな \U0001f600 x", "Ωmega αβγ Ж", "a"):
+        assert np.array_equal(e.bundle(*e.counts(text)), brute_bundle(text)), text
+
+
+def test_languages_of_other_scripts(spark):
+    """Languages that share a script other than the Latin one are told apart by their letters, and the query's rows are those of plain Python."""
+    lines = {"ru": "это не просто слова, а язык, на котором говорят люди и который они хорошо знают", "uk": "це не просто слова, а мова, якою розмовляють люди і яку вони добре знають та люблять", "el": "δεν είναι απλά λέξεις αλλά μια γλώσσα που μιλούν οι άνθρωποι και την ξέρουν καλά", "ja": "これはただの言葉ではなく人々が話しよく知っている言語です", "en": "these are not just words but a language that people speak and know well"}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(lines.items())], "doc_id long, text string, lang string")
+    model = G.train(docs)
+    parts = {"ru": "люди говорят на этом языке", "uk": "люди розмовляють цією мовою", "el": "οι άνθρωποι μιλούν την γλώσσα", "ja": "人々が話している言葉です", "en": "people speak the language"}
+    test = frame(spark, [*((i, t) for i, t in enumerate(parts.values())), (0, parts["ru"])])
+    got = G.classify(test, model).collect()
+    assert sorted((r.doc_id, r.predicted) for r in got) == sorted([*enumerate(parts), (0, "ru")])
+    for r in got:
+        v = brute_bundle(list(parts.values())[r.doc_id])
+        cosines = sorted(float(x @ v / np.linalg.norm(v)) for x in model.vectors)
+        assert abs(cosines[-1] - r.cosine) < 1e-4 and abs(cosines[-1] - cosines[-2] - r.margin) < 1e-4
 
 
 def test_languages_of_odd_rows(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +19,34 @@ DIM, SEED = 1024, 20240
 SAMPLE_PER_LANGUAGE = 500
 #: A document whose best cosine is lower, or that has no n-gram, gets the language null.
 MIN_COSINE = 0.05
-#: Symbol 0 separates words; each letter here has a symbol of its own and any other letter shares the last one.
+#: Symbol 0 separates words and each of these letters has the next; any other letter of any script is SYMBOLS plus its code point. Trigrams of the first are looked up, the others are bound as they come.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíîïñóôöùúûüßœæ"
-SYMBOLS = len(LETTERS) + 2
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each UTF-32 code point below 0x3000; later ones are letters of the last kind."""
-    table = np.zeros(0x3001, np.int32)
-    for code in range(0x3000):
-        c = chr(code).lower()
-        if c in LETTERS and len(c) == 1:
-            table[code] = LETTERS.index(c) + 1
-        elif c.isalpha():
-            table[code] = SYMBOLS - 1
-    table[0x3000] = SYMBOLS - 1
+SYMBOLS = len(LETTERS) + 1
+#: More than any symbol, and how many vectors of other letters a worker keeps.
+RADIX, KEPT = SYMBOLS + 0x110000, 20_000
+
+
+@lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """Symbol of each code point, whatever the letter's case."""
+    table = np.zeros(0x110000, np.int64)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isalpha():
+            low = c.lower()
+            table[code] = LETTERS.index(low) + 1 if low in LETTERS and len(low) == 1 else SYMBOLS + ord(low[0])
     return table
 
 
-TABLE = _symbol_table()
-
-
 def letter_vectors(dim: int = DIM, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
 
 
+def other_vector(symbol: int, dim: int = DIM, seed: int = SEED) -> np.ndarray:
+    """The random vector of a letter that isn't in LETTERS, made from its symbol wherever it is needed."""
+    return np.random.default_rng([seed, symbol]).choice(np.array([-1, 1], np.int8), dim)
+
+
 class Encoder:
     """Bundles of trigram hypervectors: the trigram abc is bound as permute(permute(a)) * permute(b) * c, where permute is a rotation."""
 
@@ -50,28 +54,56 @@ class Encoder:
         letters = letter_vectors(dim, seed)
         self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
         self.pairs = (self.first[:, None, :] * self.second[None, :, :]).reshape(SYMBOLS * SYMBOLS, dim)
-        self.dim = dim
+        self.dim, self.seed = dim, seed
+        self.others: dict[int, np.ndarray] = {}
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Trigrams (as one number) of the whole text and how often each is there. Runs of separators count as one; one stands at either end."""
+        """Trigrams (as one number, below 0 where a letter isn't in LETTERS) of the whole text and how often each is there. Runs of separators count as one; one stands at either end."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.concatenate(([0], TABLE[np.minimum(codes, 0x3000)], [0]))
+        s = np.concatenate(([0], symbol_table()[codes], [0]))
         s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
         if len(s) < 3:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         grams = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-        n = np.bincount(grams, minlength=0) if len(grams) > 20_000 else None
-        if n is not None:
+        if (rare := s >= SYMBOLS).any():
+            rare = rare[:-2] | rare[1:-1] | rare[2:]
+            grams = np.where(rare, -1 - ((s[:-2] * RADIX + s[1:-1]) * RADIX + s[2:]), grams)
+        elif len(grams) > 20_000:
+            n = np.bincount(grams)
             found = np.flatnonzero(n)
             return found, n[found]
         return np.unique(grams, return_counts=True)
 
+    def vectors(self, symbols: np.ndarray) -> np.ndarray:
+        if len(self.others) > KEPT:
+            self.others.clear()
+        out = np.empty((len(symbols), self.dim), np.int8)
+        for i, x in enumerate(symbols.tolist()):
+            if x < SYMBOLS:
+                out[i] = self.third[x]
+            else:
+                v = self.others.get(x)
+                if v is None:
+                    v = self.others[x] = other_vector(x, self.dim, self.seed)
+                out[i] = v
+        return out
+
     def bundle(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, each as often as it occurs."""
         if not len(grams):
             return np.zeros(self.dim, np.float32)
-        pair, last = np.divmod(grams, SYMBOLS)
         total = np.zeros(self.dim, np.float32)
+        if grams[0] < 0:  # sorted, so these come first
+            few = int(np.searchsorted(grams, 0))
+            for at in range(0, few, 4096):
+                pair, c = np.divmod(-1 - grams[at : min(at + 4096, few)], RADIX)
+                a, b = np.divmod(pair, RADIX)
+                symbols, where = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+                v, (a, b, c) = self.vectors(symbols), where.reshape(3, -1)
+                bound = np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
+                total += n[at : min(at + 4096, few)].astype(np.float32) @ bound.astype(np.float32)
+            grams, n = grams[few:], n[few:]
+        pair, last = np.divmod(grams, SYMBOLS)
         for at in range(0, len(grams), 4096):
             bound = self.pairs[pair[at : at + 4096]] * self.third[last[at : at + 4096]]
             total += n[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
