@@ -23,12 +23,19 @@ def corpus_statistics(docs: DataFrame, by: list[str], text_col: str = "text") ->
     return out.withColumn("flesch", F.round(F.least(F.greatest(F.coalesce(flesch, F.lit(0.0)), F.lit(0.0)), F.lit(100.0)), 4)).drop("syllables").withColumn("mean", F.round("mean", 6))
 
 
+def _word_sums(words: DataFrame) -> DataFrame:
+    """(word, n, df, share) of a column w of word lists: occurrences, lists that hold it, and the sum over occurrences of 1 / its list's size.
+
+    Each list is exploded once, its words and its distinct words together, so one aggregation with map-side sums is all.
+    """
+    one = lambda n, df, share: lambda x: F.struct(x.alias("word"), F.lit(n).alias("n"), F.lit(df).alias("df"), share.alias("share"))
+    both = F.concat(F.transform("w", one(1, 0, 1.0 / F.size("w"))), F.transform(F.array_distinct("w"), one(0, 1, F.lit(0.0))))
+    return words.select(F.explode(both).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df"), F.sum("x.share").alias("share"))
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n, df)."""
-    words = docs.select(T.tokens(F.col(text_col)).alias("w"))
-    counted = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return counted.join(df, "word")
+    return _word_sums(docs.select(T.tokens(F.col(text_col)).alias("w"))).select("word", "n", "df")
 
 
 def keywords_frequency(docs: DataFrame, top: int = 50, text_col: str = "text") -> DataFrame:
@@ -39,13 +46,10 @@ def keywords_frequency(docs: DataFrame, top: int = 50, text_col: str = "text") -
 def keywords_tfidf(docs: DataFrame, top: int | None = 50, text_col: str = "text") -> DataFrame:
     """(word, frequency, score): the sum over documents of the share of its keywords times ln(documents / those with the word).
 
-    The sum splits into idf(word) times the sum of shares, so one pass of partial sums a word replaces a join of counts to documents.
+    The sum splits into idf(word) times the sum of shares, and that into one over its document's size for each occurrence.
     """
     n = docs.count()
-    one = docs.select(T.keywords(F.col(text_col)).alias("k")).withColumn("size", F.size("k"))
-    exploded = one.select(F.monotonically_increasing_id().alias("row"), "size", "k").select("row", "size", F.explode("k").alias("word"))
-    in_doc = exploded.groupBy("row", "word", "size").agg(F.count("*").alias("c"))
-    words = in_doc.groupBy("word").agg(F.sum("c").alias("frequency"), F.count("*").alias("df"), F.sum(F.col("c") / F.col("size")).alias("share"))
+    words = _word_sums(docs.select(T.keywords(F.col(text_col)).alias("w"))).withColumnRenamed("n", "frequency")
     out = words.select("word", "frequency", F.round(F.col("share") * F.ln(F.lit(float(n)) / F.col("df")), 6).alias("score"))
     return out if top is None else out.orderBy(F.desc("score"), "word").limit(top)
 

@@ -23,3 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bytes a core below which a table is dealt out over all cores before work that takes long a row.
+SMALL = 16_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores if it is small: its file may be one row group, which is one task. A table that fills the cores anyway stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
