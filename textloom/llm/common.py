@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textloom.operators.lineage import cut, spread  # noqa: F401
+from textloom.operators.lineage import shared_folder as shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one of texts is dealt out over the cores while it is small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def out_schema(docs: DataFrame, id_col: str, schema: str) -> StructType:
@@ -45,22 +49,3 @@ def pieces(batch: pa.RecordBatch, max_chars: int = 2_000_000) -> Iterator[tuple[
         total += n
     if start < len(sizes):
         yield ids.slice(start), texts.slice(start).to_pylist()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of its own is made only where there is none and Spark runs in one process."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="textloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, so a lost executor costs no recomputation of what led to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
