@@ -24,6 +24,8 @@ SAMPLE_PER_CLASS = 2000
 TERMS, STEMS, FOLDS = 512, (4, 5, 6, 7, 8), 5
 #: Half a log-likelihood ratio that a term needs (chance alone gives it about once in 16,000), or long clean texts gather terms that only look abusive.
 SURE = 8.0
+#: Rows of the class that a term needs at least.
+LEAST_ROWS = 3
 #: A document whose probability of being toxic is higher is rejected.
 THRESHOLD, REJECTS = 0.5, CATEGORIES.index("toxic")
 WORD = re.compile(r"\w+")
@@ -111,21 +113,16 @@ def categories(low: int, toxic: int) -> tuple[int, int, int]:
     return low, toxic, low * toxic
 
 
-def telling(seen: tuple[Counter, Counter], total: list[int], n_terms: int) -> list[str]:
-    """The n_terms that rows of class 1 have more often, with the greatest log-likelihood ratio against the class. seen: rows of each class with a term; total: rows of each."""
+def telling(seen: np.ndarray, total: list[int], n_terms: int) -> list[int]:
+    """The n_terms that rows of class 1 have more often, with the greatest log-likelihood ratio against the class. seen: by class, the rows with each term; total: rows of each."""
     if not all(total):
         return []
-
-    def ratio(t: str) -> float:
-        a, b = seen[1][t], seen[0][t]
-        p = (a + b) / sum(total)
-        out = sum(k * np.log(k / (n * p)) for k, n in ((a, total[1]), (b, total[0])) if k)
-        out += sum((n - k) * np.log((n - k) / (n * (1 - p))) for k, n in ((a, total[1]), (b, total[0])) if n > k)
-        return float(out)
-
-    common = [t for t, k in seen[1].items() if k >= 3 and k / total[1] > 2 * seen[0][t] / total[0]]
-    worth = {t: r for t in common if (r := ratio(t)) >= SURE}
-    return sorted(worth, key=lambda t: (-worth[t], t))[:n_terms]
+    b, a = seen.astype(np.float64)
+    p = (a + b) / sum(total)
+    with np.errstate(all="ignore"):
+        worth = sum(np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(n > k, (n - k) * np.log((n - k) / (n * (1 - p))), 0) for k, n in ((a, total[1]), (b, total[0])))
+    at = np.flatnonzero((a >= LEAST_ROWS) & (a / total[1] > 2 * b / total[0]) & (worth >= SURE))
+    return at[np.lexsort((at, -worth[at]))][:n_terms].tolist()
 
 
 def fold_of(text: str, folds: int) -> int:
@@ -146,19 +143,26 @@ def fit(rows: list[Row], n_terms: int = TERMS, folds: int = FOLDS, decay: float
         return none
     fold = np.array([fold_of(t, folds) for t, _, _ in rows])
     labels = np.array([categories(low, toxic) for _, low, toxic in rows], np.float64)
-    seen = [[[Counter(), Counter()] for _ in range(2)] for _ in range(folds)]  # by fold, label and class
-    for (text, *ys), k in zip(rows, fold.tolist(), strict=True):
-        found = terms_of(text).keys()
+    terms = [terms_of(t).keys() for t, _, _ in rows]
+    often = Counter()
+    for found, (_, low, toxic) in zip(terms, rows, strict=True):
+        if low or toxic:
+            often.update(found)
+    known = sorted(t for t, n in often.items() if n >= LEAST_ROWS)  # no other term can be chosen
+    index = {t: i for i, t in enumerate(known)}
+    seen = np.zeros((folds, 2, 2, len(known)), np.int64)  # by fold, label, class and term
+    for found, (_, *ys), k in zip(terms, rows, fold.tolist(), strict=True):
+        at = [i for t in found if (i := index.get(t)) is not None]
         for c, y in enumerate(ys):
-            seen[k][c][y].update(found)
+            seen[k, c, y, at] += 1
+    every_fold = seen.sum(axis=0)
 
     def chosen(without: int | None) -> list[str]:
-        out: dict[str, None] = {}
+        out: set[int] = set()
         for c in range(2):
             total = [int(np.sum((labels[:, c] == y) & (fold != (-1 if without is None else without)))) for y in (0, 1)]
-            both = tuple(sum((seen[k][c][y] for k in range(folds) if k != without), Counter()) for y in (0, 1))
-            out |= dict.fromkeys(telling(both, total, n_terms))
-        return sorted(out)
+            out.update(telling(every_fold[c] - (0 if without is None else seen[without, c]), total, n_terms))
+        return [known[i] for i in sorted(out)]
 
     by_fold, final = [chosen(k) for k in range(folds)], chosen(None)
     every = Chain({t: i for i, t in enumerate(sorted({*final, *(t for ts in by_fold for t in ts)}))}, [])
