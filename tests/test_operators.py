@@ -151,3 +151,29 @@ def test_feed_and_sources(spark):
     assert D.several({"a": lambda: spark.range(1), "b": lambda: 1 / 0})["b"] is None
     with pytest.raises(ValueError):
         D.jdbc(spark, "jdbc:x")
+
+
+def test_fill_against_a_loop(spark):
+    import random
+
+    from textloom.operators import warehouse as W
+
+    rng = random.Random(3)
+    rows = [(k, "ab"[rng.random() < 0.2], rng.choice([0, 0, 1, 5, 9, 30, 70, 150])) for k in range(600)] + [(1000 + k, "c", 0) for k in range(5)] + [(2000, "d", 500)]
+    want = {}
+    for by in "abcd":
+        part = held = 0
+        for k, b, n in rows:
+            if b == by:
+                if held and held + n > 100:
+                    part, held = part + 1, 0
+                held += n
+                want[k] = part
+    df = spark.createDataFrame(rows, "k long, b string, n long")
+    for tasks in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            got = {r.k: r.part for r in W.fill(df.repartition(5), "b", "k", "n", 100).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == want, tasks

@@ -159,3 +159,13 @@ def token_fit(tokens: Column, model: str) -> Column:
     """struct(fits, utilisation, over, chunks, cost) of a model's context and price."""
     price, context = L.MODELS[model]
     return F.struct((tokens <= context).alias("fits"), F.round(tokens / context, 6).alias("utilisation"), F.greatest(tokens - context, F.lit(0)).alias("over"), F.ceil(tokens / context).alias("chunks"), F.round(tokens / 1000 * price, 6).alias("cost"))
+
+
+def language_name(code: Column) -> Column:
+    """The English name of a code; the code itself where there is none."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in L.LANGUAGE_NAMES.items() for x in kv)), F.lower(code)), code)
+
+
+def merged(old: Column, found: Column) -> Column:
+    """What was found in the text, where it isn't empty, else what was known."""
+    return F.coalesce(F.when(F.length(F.trim(found)) > 0, found), old)

@@ -178,3 +178,27 @@ def clean_score(text: Column, original: Column, language_ok: Column, least: int
     length = F.when(n < least, n / least * 0.5).when(n < optimal, 0.5 + 0.5 * (n - least) / (optimal - least)).otherwise(1.0)
     removed = 1 - n / F.greatest(F.length(original), F.lit(1))
     return 0.2 * length + 0.2 * F.when(language_ok, 1.0).otherwise(0.5) + 0.3 * clamp(1 - removed / most) + 0.3
+
+
+def preprocessor_score(before: Column, after: Column, valid: Column, least: int = 50) -> Column:
+    """.3 length, .2 whether it is valid, .2 distinct characters of 26, .2 the share removed (best from a tenth to four tenths), .1 no error; 0 for an empty result."""
+    n, removed = F.length(after), 1 - F.length(after) / F.greatest(F.length(before), F.lit(1))
+    length = F.when(n < least, n / least * 0.5).when(n <= 1000, 0.5 + n / 1000 * 0.5).otherwise(1.0)
+    variety = F.least(F.lit(1.0), F.size(F.array_distinct(F.split(F.lower(after), ""))) / 26)
+    noise = F.when(removed.between(0.1, 0.4), 1.0).when(removed < 0.1, 0.8).otherwise(F.greatest(F.lit(0.3), 1 - (removed - 0.4) * 2))
+    score = 0.3 * length + 0.2 * F.when(valid, 1.0).otherwise(0.0) + 0.2 * variety + 0.2 * noise + 0.1 * F.when(valid, 1.0).otherwise(0.5)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(clamp(score))
+
+
+#: A small letter, then white space and a single capital; a run of consonants.
+BROKEN, CLUSTER = r"[a-z]\s+[A-Z](?:[^A-Z]|$)", "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{5,}"
+
+
+def uncleanliness(text: Column) -> Column:
+    """array of what is unclean: broken sentences, gibberish (more than one run of consonants in 1,000 characters), more than a tenth of signs, replacement characters."""
+    n = F.length(text)
+    tests = {
+        "broken sentences": text.rlike(BROKEN), "gibberish": F.size(F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(0))) > n / 1000,
+        "many signs": (n > 0) & (F.length(F.regexp_replace(text, r"[\p{L}\p{N}_\s]", "")) > 0.1 * n), "bad encoding": F.contains(text, F.lit("\ufffd")),
+    }
+    return F.array_compact(F.array(*(F.when(test, F.lit(what)) for what, test in tests.items())))

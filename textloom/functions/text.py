@@ -186,6 +186,19 @@ def boilerplate_lines(text: Column, patterns: Sequence[str], aggressive: bool =
     return F.array_join(F.filter(lines, lambda s: F.length(F.trim(s)) >= 3), "\n")
 
 
+#: Kinds of boilerplate and their patterns; what comes before the first underscore is the pattern's type. Add to it as needed.
+BOILERPLATE = {
+    "legal_copyright": r"(?i)(?:©|copyright)[^\n]*", "legal_rights": r"(?i)all rights reserved", "legal_terms": r"(?i)terms (?:of (?:service|use)|and conditions)", "web_cookies": r"(?i)(?:accept|use) cookies|cookie policy",
+    "web_subscribe": r"(?i)subscribe to [^\n.]*", "web_share": r"(?i)share (?:this|on) [^\n.]*", "web_navigation": r"(?i)skip to (?:main )?content|back to top", "page_number": r"(?m)^Page \d+ of \d+$", "license_notice": r"(?i)licen[sc]ed under [^\n.]*",
+}
+
+
+def boilerplate_found(text: Column, patterns: dict[str, str] | None = None) -> Column:
+    """map of each pattern that matches to its matches; nothing is removed."""
+    parts = [F.struct(F.lit(k).alias("key"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("value")) for k, p in (patterns or BOILERPLATE).items()]
+    return F.map_from_entries(F.filter(F.array(*parts), lambda x: F.size(x["value"]) > 0))
+
+
 def keyword_pattern(keyword: str, whole_words: bool = True) -> str:
     """A pattern as it is if it begins with a backslash or has a caret, else the keyword's words, by default only whole ones."""
     if keyword.startswith("\\") or "^" in keyword:

@@ -34,6 +34,14 @@ def issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return own.union(again)
 
 
+def quality_issues(scored: DataFrame, score: str, least: float = 0.3, id_col: str = "doc_id") -> DataFrame:
+    """(id, rule, severity, what): each document below the score, and the dataset (id null) if its mean is. One scan for either; the mean is one row."""
+    issue = lambda severity, what: (F.lit("quality").alias("rule"), F.lit(severity).alias("severity"), F.lit(what).alias("what"))
+    own = scored.where(F.col(score) < least).select(F.col(id_col).alias("id"), *issue("INFO", "document below the least score"))
+    whole = scored.agg(F.avg(score).alias("m")).where(F.col("m") < least).select(F.lit(None).cast(scored.schema[id_col].dataType).alias("id"), *issue("WARNING", "dataset below the least score"))
+    return own.union(whole)
+
+
 def summary(found: DataFrame) -> DataFrame:
     """One row: counts by severity, and whether the dataset is valid, that is without an error or a critical issue."""
     n = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("INFO", "WARNING", "ERROR", "CRITICAL")]

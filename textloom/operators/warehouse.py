@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.lineage import cut
+
 # Partition keys
 
 
@@ -33,33 +36,77 @@ def quality_band(score: Column, bounds: Sequence[float] = (0.3, 0.6, 0.8)) -> Co
     return F.when(score < low, "low").when(score < mid, "medium").when(score < high, "high").otherwise("excellent")
 
 
-def fill(docs: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
-    """(by, order, part): in order, a part is closed when the next document would take it beyond most. Only these columns leave the JVM, a group a task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        part, held, parts = 0, 0, []
-        for n in rows[size]:
-            if held and held + n > most:
-                part, held = part + 1, 0
-            held += n
-            parts.append(part)
-        return rows[[by, order]].assign(part=parts)
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with _place, each row's place from 0 within by, in order; equal rows in any order.
 
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (by, order)}
-    return docs.select(by, order, size).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, part long")
+    The rows are ranged over the tasks and counted, and each range adds up those before it, so no group lies in one task.
+    """
+    spread = cut(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_p", F.spark_partition_id()))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sizes = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"))  # a row a group and range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)) - 1 + F.col("_before")
+    return spread.join(before, [*by, "_p"]).withColumn("_place", place).drop("_p", "_before")
 
 
 def batches(docs: DataFrame, order: str, n: int) -> DataFrame:
-    """docs with the column batch: rows i * n to (i + 1) * n in order. Ranges are counted first, so that no task sees all rows."""
-    spread = docs.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    from textloom.operators.lineage import cut
+    """docs with the column batch: rows i * n to (i + 1) * n in order."""
+    return ranked(docs, [], [order]).withColumn("batch", F.floor(F.col("_place") / n).cast("long")).drop("_place")
+
+
+def _next(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums up to each document, and where the part that begins with it ends: it has one document at least, and is only closed once it holds something."""
+    n, sums = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + most, side="right") - 1, np.arange(1, n + 1))
+    return sums, np.where((sums[ends] == sums[:-1]) & (ends < n), ends + 1, ends)
+
+
+def fill(docs: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
+    """(by, order, part): in order, a part is closed when the next document would take it beyond most.
+
+    A part begins where the one before ends, a chain through the whole group, yet no group lies in one task: the rows are
+    ranged over the tasks, and each range says, for every document of its first most bytes, how many parts follow if one begins
+    there and what the last holds. These few rows a range are folded in order, and then each range deals out its parts.
+    """
+    ranged = cut(docs.select(by, order, size).repartitionByRange(by, order).withColumn("_p", F.spark_partition_id()))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (by, order)}
 
-    spread = cut(spread)
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_before")
-    return spread.join(before, "_p").withColumn("batch", F.floor(place / n).cast("long")).drop("_p", "_before")
+    def offers(rows: pd.DataFrame) -> pd.DataFrame:
+        sums, ends = _next(rows.sort_values(order)[size].to_numpy(np.int64), most)
+        n = len(ends)
+        parts, held = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = int(ends[i])
+            parts[i], held[i] = (0, sums[n] - sums[i]) if j >= n else (1 + parts[j], held[j])
+        few = min(n, int(np.searchsorted(sums[1:], most, side="right")) + 1)
+        return pd.DataFrame({by: [rows[by].iloc[0]], "_p": [int(rows["_p"].iloc[0])], "sums": [sums[1 : few + 1].tolist()], "parts": [parts[:few].tolist()], "held": [held[:few].tolist()], "n": [n], "total": [int(sums[n])]})
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        part, held, out = 0, 0, []
+        for r in rows.sort_values("_p").itertuples(index=False):
+            out.append((r[0], int(r[1]), part, held))
+            at = 0 if not held else int(np.searchsorted(np.asarray(r.sums), most - held, side="right"))
+            if at >= r.n:
+                held += r.total
+            else:
+                part, held = part + bool(held) + int(r.parts[at]), int(r.held[at])
+        return pd.DataFrame(out, columns=[by, "_p", "_part", "_held"])
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        sums, ends = _next(rows[size].to_numpy(np.int64), most)
+        part, held, n = int(rows["_part"].iloc[0]), int(rows["_held"].iloc[0]), len(ends)
+        at = 0 if not held else int(np.searchsorted(sums[1:], most - held, side="right"))
+        out = np.full(n, part, np.int64)
+        part += bool(held)
+        while at < n:
+            out[at : ends[at]] = part
+            at, part = int(ends[at]), part + 1
+        return rows[[by, order]].assign(part=out)
+
+    first = ranged.groupBy(by, "_p").applyInPandas(offers, f"{by} {kinds[by]}, _p int, sums array<long>, parts array<long>, held array<long>, n long, total long")
+    starts = first.groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, _p int, _part long, _held long")  # a row a group and range
+    return ranged.join(starts, [by, "_p"]).groupBy(by, "_p").applyInPandas(deal, f"{by} {kinds[by]}, {order} {kinds[order]}, part long")
 
 
 def partition_statistics(df: DataFrame, key: str, size: str) -> DataFrame:
@@ -176,3 +223,37 @@ def restore_increment(base: DataFrame, increment: DataFrame, key: str) -> DataFr
 def process_changes(found: DataFrame, current: DataFrame, key: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f over the rows that came or changed."""
     return f(current.join(found.where("change <> 'DELETE'").select(key), key, "left_semi"))
+
+
+#: The tables of a document warehouse: name -> columns.
+STAR = {
+    "documents": "id string, source_path string, content string, file_type string, size_bytes long, language string, domain string, quality_score double, author string, created_at timestamp",
+    "document_entities": "document_id string, entity_text string, label string, confidence double",
+    "datasets": "id string, name string, version string, documents long, created_at timestamp",
+    "dataset_documents": "dataset_id string, document_id string, split string",
+    "processing_logs": "document_id string, stage string, status string, message string, created_at timestamp",
+}
+
+
+def star(docs: DataFrame, dataset: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> dict[str, DataFrame]:
+    """The warehouse's tables of a corpus but the logs: facts a document and entity, the dataset and its members with their split. No join: each is a projection of the documents."""
+    from textloom.functions import annotate, quality
+    from textloom.operators.segments import split
+
+    key, text = F.col(id_col).cast("string"), F.col(text_col)
+    documents = docs.select(key.alias("id"), F.col(source_col).alias("source_path"), text.alias("content"), F.lit("text").alias("file_type"), F.octet_length(text).cast("long").alias("size_bytes"), F.col(lang_col).alias("language"), annotate.domain(text)["domain"].alias("domain"), quality.length_score(text).alias("quality_score"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("timestamp").alias("created_at"))
+    entities = docs.select(key.alias("document_id"), F.explode(annotate.entities(text, most=2**31 - 1)).alias("e")).select("document_id", F.col("e.text").alias("entity_text"), "e.label", "e.confidence")
+    sets = docs.agg(F.count("*").alias("documents")).select(F.lit(dataset).alias("id"), F.lit(dataset).alias("name"), F.lit("1").alias("version"), "documents", F.lit(None).cast("timestamp").alias("created_at"))
+    members = docs.select(F.lit(dataset).alias("dataset_id"), key.alias("document_id"), split(F.col(id_col)).alias("split"))
+    return {"documents": documents, "document_entities": entities, "datasets": sets, "dataset_documents": members}
+
+
+def track(spark: SparkSession, folder: str, kind: str, **values: object) -> None:
+    """Add a row to the registry of trainings, models or versions in a folder, as one JSON line with its time; readers see whole files only."""
+    import json
+
+    spark.createDataFrame([(json.dumps(values, sort_keys=True, default=str),)], "value string").select(F.lit(kind).alias("kind"), "value", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/registry")
+
+
+def tracked(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    return spark.read.schema("kind string, value string, at timestamp").json(f"{folder}/registry").where(F.col("kind") == kind)

@@ -54,9 +54,11 @@ def metric_summary(spark, sf):
 @query("metric_trend", """WITH h AS (SELECT event_type, value, ntile(2) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS half FROM events)
     SELECT event_type, round(avg(value) FILTER (WHERE half = 2) - avg(value) FILTER (WHERE half = 1), 6) AS trend, round(stddev_samp(value), 6) AS volatility FROM h GROUP BY event_type""")
 def metric_trend(spark, sf):
-    from pyspark.sql import Window
+    from textloom.operators.warehouse import ranked
 
-    h = table(spark, sf, "events").withColumn("half", F.ntile(2).over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
+    e = table(spark, sf, "events")
+    n = e.groupBy("event_type").agg(F.count("*").alias("_n"))  # a row a kind
+    h = ranked(e.select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"]).join(n, "event_type").withColumn("half", F.when(2 * F.col("_place") < F.col("_n"), 1).otherwise(2))
     mean = lambda k: F.avg(F.when(F.col("half") == k, F.col("value")))
     return h.groupBy("event_type").agg(F.round(mean(2) - mean(1), 6).alias("trend"), F.round(F.stddev_samp("value"), 6).alias("volatility"))
 

@@ -128,6 +128,47 @@ def json_depth(text: Column, most: int = 100) -> Column:
     return F.least(fold["most"], F.lit(most))
 
 
+def is_tabular(array: Column) -> Column:
+    """Whether a JSON array has two objects or more, all with the same keys."""
+    objects = F.from_json(array, "array<string>")
+    keys = F.transform(objects, lambda x: F.array_sort(F.json_object_keys(x)))
+    return F.coalesce((F.size(objects) >= 2) & F.forall(keys, lambda k: k.isNotNull()) & (F.size(F.array_distinct(keys)) == 1), F.lit(False))
+
+
+def headings(text: Column) -> Column:
+    """Lines of 3 to 100 characters that look like headings: capitals throughout, numbered, in title case, or of a chapter, section or appendix."""
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
+    numbered = r"^[A-Z][A-Z\s]+$|^\d+\.\s+[A-Z]|^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$|^(?:Chapter|Section)\s+\d+|^Appendix\s+[A-Z]"
+
+    def heading(s: Column) -> Column:
+        upper = (F.upper(s) == s) & (F.lower(s) != s) & F.length(s).between(5, 50)
+        title = ~s.rlike("[.!?,;]$") & (F.length(s) <= 80) & s.rlike(r"^\p{Lu}\S*(?:\s+\p{Lu}\S*)+$")
+        return F.length(s).between(3, 100) & (s.rlike(numbered) | upper | title)
+
+    return F.filter(lines, heading)
+
+
+def clean_yaml(text: Column) -> Column:
+    """YAML to JSON with what clean_json tidies; null for what isn't YAML, and where no YAML parser is installed."""
+
+    def one(texts: pd.Series) -> pd.Series:
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            return pd.Series([None] * len(texts), dtype=object)
+        import json
+
+        def go(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(yaml.safe_load(t), default=str)
+            except (yaml.YAMLError, ValueError, RecursionError):
+                return None
+
+        return texts.map(go)
+
+    return clean_json(F.pandas_udf(one, "string")(text))
+
+
 def clean_json(text: Column) -> Column:
     """Keys in snake case and placeholder values dropped, at every level; null for what isn't JSON."""
     import json

@@ -102,9 +102,35 @@ def trailing(events: DataFrame, minutes: int = 60) -> DataFrame:
     """(event_id, n, least, most, mean) of each event's kind over the minutes up to it."""
     from pyspark.sql import Window
 
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy(seconds).rangeBetween(-minutes * 60_000_000, 0)
-    return events.select("event_id", F.count("*").over(w).alias("n"), F.min("value").over(w).alias("least"), F.max("value").over(w).alias("most"), F.round(F.avg("value").over(w), 6).alias("mean"))
+    micros, width = F.unix_micros(F.col("ts").cast("timestamp")), minutes * 60_000_000
+    # Each row is in its own stretch of time and, as what came before, in the next one, so that a kind's rows aren't in one task.
+    stretch = F.floor(micros / width)
+    placed = events.select("event_id", "event_type", "value", micros.alias("_at"), F.explode(F.array(stretch, stretch + 1)).alias("_stretch"), stretch.alias("_own"))
+    w = Window.partitionBy("event_type", "_stretch").orderBy("_at").rangeBetween(-width, 0)
+    out = placed.select("event_id", "_stretch", "_own", F.count("*").over(w).alias("n"), F.min("value").over(w).alias("least"), F.max("value").over(w).alias("most"), F.round(F.avg("value").over(w), 6).alias("mean"))
+    return out.where("_stretch = _own").drop("_stretch", "_own")
+
+
+def progress(query) -> dict[str, float]:
+    """Rows and batches of a running or ended stream so far, and the rows a second of its last batch that had any."""
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    return {"batches": len(done), "rows": sum(p["numInputRows"] for p in done), "rows_per_second": done[-1]["processedRowsPerSecond"] if done else 0.0}
+
+
+def merged(streams: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Named streams as one, with the column stream; each can be stopped only with the whole."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (s.select(*columns, F.lit(name).alias("stream")) for name, s in streams.items()))
+
+
+def write_kafka(df: DataFrame, topic: str, servers: str, value: Column, key: Column | None = None, checkpoint: str | None = None):
+    """Send rows as messages: a batch table at once, a stream as a query with the checkpoint folder. Needs Spark's Kafka package."""
+    out = df.select(*([] if key is None else [key.cast("string").alias("key")]), value.cast("string").alias("value"))
+    options = {"kafka.bootstrap.servers": servers, "topic": topic}
+    if df.isStreaming:
+        return out.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint or f"{shared_folder(df.sparkSession)}/kafka-{uuid4().hex}").start()
+    return out.write.format("kafka").options(**options).save()
 
 
 # Logs
