@@ -8,7 +8,7 @@ from textloom.functions import annotate as A
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.plans.registry import query, table
-from textloom.plans.text import RAW_SQL
+from textloom.plans.text import RAW_SQL, SENTENCES_SQL
 
 _COUNTS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 SCRIPT_SQL = "CASE " + " ".join(f"WHEN s{k} > 0 AND s{k} >= greatest({', '.join(f's{j}' for j in range(len(L.SCRIPTS)))}) THEN '{n}'" for k, n in enumerate(L.SCRIPTS)) + " END"
@@ -37,18 +37,36 @@ def language_filter(spark, sf):
     return d.select("doc_id", (allowed & sure).alias("kept"), F.when(~allowed, "language").when(~sure, "confidence").otherwise("kept").alias("reason"))
 
 
-@query("sentiment")
+_WORDS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))"
+_INTENSITY = "CASE " + " ".join(f"WHEN b1 = '{w}' THEN {x}" for w, x in L.INTENSIFIERS.items()) + " ELSE 1.0 END"
+_EMOTIONS = sorted(set(L.EMOTIONS.values()))
+_EMOTION = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(w) for w, v in L.EMOTIONS.items() if v == e)}) THEN {k}" for k, e in enumerate(_EMOTIONS)) + " END"
+
+
+def sentiment_sql(source: str, keys: str) -> str:
+    """Polarity, subjectivity, confidence and emotion of source's texts, with the words as rows."""
+    return f"""WITH t AS (SELECT {keys}, {_WORDS} AS w FROM {source}), u AS (SELECT {keys}, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+    v AS (SELECT *, coalesce(lag(x, 1) OVER o, '') AS b1, coalesce(lag(x, 2) OVER o, '') AS b2 FROM u WINDOW o AS (PARTITION BY {keys} ORDER BY i)),
+    s AS (SELECT {keys}, CASE WHEN x IN {L.POSITIVE} THEN 1.0 WHEN x IN {L.NEGATIVE} THEN -1.0 ELSE 0 END::DOUBLE * CASE WHEN b1 IN {L.NEGATIONS} THEN -0.8 WHEN b2 IN {L.NEGATIONS} THEN -0.6 ELSE 1.0 END::DOUBLE * ({_INTENSITY})::DOUBLE AS s, {_EMOTION} AS e FROM v),
+    f AS (SELECT {keys}, e, sum(abs(s)) AS m FROM s WHERE e IS NOT NULL GROUP BY ALL), g AS (SELECT {keys}, e FROM f QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY m DESC, e) = 1),
+    h AS (SELECT {keys}, sum(greatest(s, 0)) AS up, sum(greatest(-s, 0)) AS down FROM s GROUP BY {keys}),
+    p AS (SELECT {keys}, coalesce(up, 0) / greatest(len(w), 1) AS up, coalesce(down, 0) / greatest(len(w), 1) AS down FROM t LEFT JOIN h USING ({keys}))
+    SELECT {keys}, round(up - down, 6) AS polarity, round(least(1, up + down), 6) AS subjectivity, round(least(1, abs(up - down) + 0.5 * least(1, up + down)), 6) AS confidence,
+    coalesce({_EMOTIONS}[e + 1], CASE WHEN up - down > 0.1 THEN 'joy' WHEN up - down < -0.1 THEN 'sadness' ELSE 'neutral' END) AS emotion FROM p LEFT JOIN g USING ({keys})"""
+
+
+@query("sentiment", sentiment_sql("documents", "doc_id"))
 def sentiment(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-@query("sentiment_summary")
+@query("sentiment_summary", f"SELECT emotion, count(*) AS n, round(avg(polarity), 6) AS polarity, round(avg(subjectivity), 6) AS subjectivity, count(*) FILTER (WHERE polarity > 0.1) AS positive, count(*) FILTER (WHERE polarity < -0.1) AS negative, min(confidence) AS least, max(confidence) AS most FROM ({sentiment_sql('documents', 'doc_id')}) GROUP BY emotion")
 def sentiment_summary(spark, sf):
     s = sentiment(spark, sf)
     return s.groupBy("emotion").agg(F.count("*").alias("n"), F.round(F.avg("polarity"), 6).alias("polarity"), F.round(F.avg("subjectivity"), 6).alias("subjectivity"), F.count_if(F.col("polarity") > 0.1).alias("positive"), F.count_if(F.col("polarity") < -0.1).alias("negative"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
-@query("sentence_sentiment")
+@query("sentence_sentiment", sentiment_sql(f"(SELECT conv_id, turn, unnest({SENTENCES_SQL}) AS text, (generate_subscripts({SENTENCES_SQL}, 1) - 1)::INT AS k FROM conversations)", "conv_id, turn, k"))
 def sentence_sentiment(spark, sf):
     one = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence"))
     return one.select("conv_id", "turn", "k", A.sentiment(F.col("sentence")).alias("s")).select("conv_id", "turn", "k", "s.*")
@@ -63,12 +81,16 @@ def taxonomy(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.domain(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
-@query("metadata_patterns")
+_FOUND = {k: "trim(coalesce(" + ", ".join("nullif(regexp_extract(text, '" + p.replace("'", "''") + "', 1), '')" for p in ps) + "))" for k, ps in (("author", A.AUTHOR), ("date", A.DATE), ("url", A.URL), ("title", A.TITLE))}
+METADATA_SQL = f"SELECT doc_id, author, date, url, title, ((author IS NOT NULL)::INT + (date IS NOT NULL)::INT + (url IS NOT NULL)::INT + (title IS NOT NULL)::INT) / 4::DOUBLE AS confidence FROM (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in _FOUND.items())} FROM documents)"
+
+
+@query("metadata_patterns", METADATA_SQL)
 def metadata_patterns(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.metadata(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query("metadata_coverage")
+@query("metadata_coverage", f"SELECT count(*) AS n, count(author) AS author, count(date) AS date, count(url) AS url, count(title) AS title, round(avg(confidence), 6) AS confidence FROM ({METADATA_SQL})")
 def metadata_coverage(spark, sf):
     m = metadata_patterns(spark, sf)
     return m.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in ("author", "date", "url", "title")), F.round(F.avg("confidence"), 6).alias("confidence"))

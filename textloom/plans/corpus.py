@@ -9,8 +9,10 @@ from textloom.functions import text as T
 from textloom.operators import analytics as A
 from textloom.operators import filters as X
 from textloom.operators import similarity as S
+from textloom.plans.annotation import sentiment_sql
+from textloom.plans.quality import LENGTH_SQL, READABILITY_SQL
 from textloom.plans.registry import query, table
-from textloom.plans.text import RAW_SQL, SENTENCES_SQL, TOKENS_SQL
+from textloom.plans.text import PAIRS_SQL, RAW_SQL, SENTENCES_SQL, TOKENS_SQL
 
 WORDS_SQL = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))"
 KEYWORDS_SQL = f"list_filter({TOKENS_SQL}, lambda w: length(w) BETWEEN 3 AND 50 AND w NOT IN {L.STOPWORDS})"
@@ -97,10 +99,6 @@ def dedup_exact(spark, sf):
     return S.exact_groups(table(spark, sf, "documents"))
 
 
-PAIRS_SQL = f"""s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM s),
-    i AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
-
-
 @query("similar_pairs", f"WITH {PAIRS_SQL} SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM i WHERE k / (na + nb - k) >= 0.7")
 def similar_pairs(spark, sf):
     return S.similar_pairs(table(spark, sf, "documents"), 0.7).withColumn("similarity", F.round("similarity", 6))
@@ -133,9 +131,12 @@ def filter_short(spark, sf):
     return X.long_enough(table(spark, sf, "documents")).select("doc_id")
 
 
-@query("analysis_report")
+@query("analysis_report", f"""WITH p AS ({sentiment_sql('documents', 'doc_id')}), d AS (SELECT lang, length(text) AS chars, len({TOKENS_SQL}) AS words, polarity, {READABILITY_SQL} AS readability, {LENGTH_SQL.replace(' n ', ' length(text) ').replace('n /', 'length(text)::DOUBLE /').replace('(n -', '(length(text) -')} AS length FROM documents JOIN p USING (doc_id)),
+    e AS (SELECT -sum(n / t * log2(n / t)) AS h FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM documents GROUP BY lang)),
+    o AS (SELECT count(*)::DOUBLE AS documents, sum(words)::DOUBLE AS words, sum(chars)::DOUBLE AS chars, count(DISTINCT lang)::DOUBLE AS languages, round(avg(polarity), 6) AS polarity, round(avg(readability), 6) AS readability, round(avg(length), 6)::DOUBLE AS length, round((SELECT h FROM e), 6) AS language_entropy FROM d)
+    SELECT name AS metric, value FROM (UNPIVOT o ON COLUMNS(*))""")
 def analysis_report(spark, sf):
-    """(metric, value) of the corpus: sizes, languages, polarity, readability, grades; two aggregations over the texts."""
+    """(metric, value) of the corpus: sizes, languages, polarity, readability, length scores; two aggregations over the texts."""
     from textloom.functions import annotate, quality
 
     d = table(spark, sf, "documents")

@@ -27,7 +27,7 @@ def format_instruction(spark, sf):
     return _conversations(spark, sf).select("conv_id", X.instruction_of(F.col("turns")).alias("i")).select("conv_id", "i.*")
 
 
-@query("format_messages")
+@query("format_messages", f"SELECT conv_id, to_json({{'messages': list_transform(turns, lambda t: {{'role': t.role, 'content': t.text}})}})::VARCHAR AS line FROM ({_TURNS})")
 def format_messages(spark, sf):
     return _conversations(spark, sf).select("conv_id", X.messages(F.col("turns")).alias("line"))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import quality as Q
+from textloom.functions import text as T
 from textloom.operators import similarity as S
 from textloom.operators import validation as V
 from textloom.plans.registry import query, table
-from textloom.plans.text import RAW_SQL, SENTENCES_SQL
+from textloom.plans.text import PAIRS_SQL, RAW_SQL, SENTENCES_SQL
 
 LENGTH_SQL = "CASE WHEN n < 50 THEN 0.2 WHEN n > 50000 THEN 0.7 WHEN n BETWEEN 200 AND 5000 THEN 1.0 WHEN n < 200 THEN greatest(0.5, n / 200) ELSE greatest(0.6, 1 - 0.4 * (n - 5000) / 5000) END"
 LANGUAGE_SQL = "CASE WHEN length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / n > 0.3 THEN 0.8 ELSE 1 END * CASE WHEN contains(text, '�') THEN 0.5 ELSE 1 END * CASE WHEN length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) / n > 0.2 THEN 0.9 ELSE 1 END"
@@ -45,7 +46,16 @@ def quality_scores(spark, sf):
     return scored(spark, sf).select("doc_id", "s.*", Q.grade(F.col("s.overall")).alias("grade"), Q.level(F.col("s.overall")).alias("level"))
 
 
-@query("quality_issues")
+_ISSUES = [
+    ("length", "high", "shorter than 50 characters", "length(text) < 50"), ("length", "medium", "longer than 50,000 characters", "length(text) > 50000"),
+    ("language", "medium", "many characters outside ASCII", "length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / n > 0.3"), ("language", "high", "replacement characters", "contains(text, chr(65533))"), ("language", "low", "many signs", "length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) / n > 0.2"),
+    ("readability", "medium", "long sentences", f"len({RAW_SQL}) / greatest(len({SENTENCES_SQL}), 1) > 25"), ("structure", "medium", "no break between paragraphs", "NOT contains(text, chr(10) || chr(10)) AND length(text) > 500"),
+    ("structure", "low", "untidy spacing or signs", f"regexp_matches(text, '{Q.FORMATTING}')"), ("completeness", "high", "unfinished", f"regexp_matches(text, '{Q.INCOMPLETE}')"), ("uniqueness", "high", "very like another document", "near > 0.8"), ("uniqueness", "medium", "like another document", "near > 0.6 AND near <= 0.8"),
+]
+
+
+@query("quality_issues", f"""WITH {PAIRS_SQL}, q AS (SELECT a AS doc_id, k / (na + nb - k) AS s FROM i UNION ALL SELECT b, k / (na + nb - k) FROM i), m AS (SELECT doc_id, max(s) AS near FROM q GROUP BY doc_id), d AS (SELECT text, greatest(length(text), 1)::DOUBLE AS n, coalesce(near, 0) AS near FROM documents LEFT JOIN m USING (doc_id))
+    SELECT type, severity, what, count(*) AS n FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS type, '{s}' AS severity, '{w}' AS what FROM d WHERE {test}" for t, s, w, test in _ISSUES) + ") GROUP BY ALL")
 def quality_issues(spark, sf):
     return scored(spark, sf).select("doc_id", F.explode("issues").alias("i")).groupBy("i.type", "i.severity", "i.what").agg(F.count("*").alias("n"))
 
@@ -69,10 +79,12 @@ def quality_bands(spark, sf):
     return table(spark, sf, "documents").select(Q.band(Q.readability_score(F.col("text"))).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 
 
-@query("clean_scores")
-def clean_scores(spark, sf):
-    from textloom.functions import text as T
+_CLEANED = T.rewrite_sql("text", [*T.CONTROL, *T.WHITESPACE, *T.TEXT_NOISE, *T.WEB_NOISE, *T.GLOBAL_BOILERPLATE, *T.GENERATED, *T.CODE_SECRETS, *T.PII, *T.FINAL])
 
+
+@query("clean_scores", f"""SELECT doc_id, round(0.2 * CASE WHEN n < 100 THEN n / 100.0 * 0.5 WHEN n < 1000 THEN 0.5 + 0.5 * (n - 100) / 900.0 ELSE 1 END + 0.2 * CASE WHEN lang = 'en' THEN 1 ELSE 0.5 END + 0.3 * least(greatest(1 - (1 - n / greatest(m, 1)) / 0.4, 0), 1) + 0.3, 6) AS score
+    FROM (SELECT doc_id, lang, length({_CLEANED})::DOUBLE AS n, length(text)::DOUBLE AS m FROM documents)""")
+def clean_scores(spark, sf):
     d = table(spark, sf, "documents").withColumn("c", T.clean_document(F.col("text")))
     return d.select("doc_id", F.round(Q.clean_score(F.col("c"), F.col("text"), F.col("lang") == "en"), 6).alias("score"))
 
@@ -85,7 +97,9 @@ def validation_issues(spark, sf):
     return V.issues(table(spark, sf, "documents")).groupBy("rule", "what").agg(F.count("*").alias("n"))
 
 
-@query("validation_summary")
+@query("validation_summary", """WITH i AS (SELECT 'error' AS s FROM documents WHERE length(text) < 10 UNION ALL SELECT 'error' FROM documents WHERE text IS NULL UNION ALL SELECT 'warning' FROM documents WHERE length(text) > 1000000
+    UNION ALL SELECT 'warning' FROM documents WHERE length(text) > 0 AND length(regexp_replace(text, '\\s', '', 'g')) < 0.1 * length(text) UNION ALL SELECT 'critical' FROM documents GROUP BY doc_id HAVING count(*) > 1)
+    SELECT count(*) AS issues, 0::BIGINT AS info, count(*) FILTER (WHERE s = 'warning') AS warning, count(*) FILTER (WHERE s = 'error') AS error, count(*) FILTER (WHERE s = 'critical') AS critical, count(*) FILTER (WHERE s IN ('error', 'critical')) = 0 AS valid FROM i""")
 def validation_summary(spark, sf):
     return V.summary(V.issues(table(spark, sf, "documents")))
 

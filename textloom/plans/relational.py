@@ -145,6 +145,18 @@ def agg_approximate(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 10000).alias("prices"))
 
 
+@query("agg_approximate_bounds", "SELECT l_returnflag, true AS parts, true AS prices FROM lineitem GROUP BY l_returnflag")
+def agg_approximate_bounds(spark, sf):
+    """Whether the sketches lie within three standard errors of the exact counts and quantiles."""
+    exact = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n"), *(F.expr(f"percentile(l_extendedprice, array({lo}, {hi}))").alias(f"q{k}") for k, (lo, hi) in enumerate(((0.09, 0.11), (0.49, 0.51), (0.89, 0.91)))))
+    both = agg_approximate(spark, sf).join(exact, "l_returnflag")
+    near = F.abs(F.col("parts") - F.col("n")) <= 0.06 * F.col("n")
+    inside = F.lit(True)
+    for k in range(3):
+        inside = inside & F.col("prices")[k].cast("double").between(F.col(f"q{k}")[0].cast("double"), F.col(f"q{k}")[1].cast("double"))
+    return both.select("l_returnflag", near.alias("parts"), inside.alias("prices"))
+
+
 @query("window_rank", """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn,
     rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders""")
 def window_rank(spark, sf):

@@ -29,7 +29,9 @@ def partition_bands(spark, sf):
     return table(spark, sf, "documents").groupBy(W.quality_band(F.least(F.col("n_chars") / 5000, F.lit(1.0))).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("partition_fill")
+@query("partition_fill", """WITH RECURSIVE d AS (SELECT lang, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+    r(lang, doc_id, k, part, held) AS (SELECT lang, doc_id, k, 0::BIGINT, n FROM d WHERE k = 1 UNION ALL
+    SELECT d.lang, d.doc_id, d.k, part + (held > 0 AND held + n > 100000)::INT, CASE WHEN held > 0 AND held + n > 100000 THEN n ELSE held + n END FROM r JOIN d ON d.lang = r.lang AND d.k = r.k + 1) SELECT lang, doc_id, part FROM r""")
 def partition_fill(spark, sf):
     return W.fill(table(spark, sf, "documents"), "lang", "doc_id", "n_chars", 100_000)
 
@@ -70,7 +72,7 @@ def version_diff(spark, sf):
     return W.version_diff(c.where("c_custkey % 10 <> 2"), new, "c_custkey")
 
 
-@query("schema_diff")
+@query("schema_diff", "SELECT * FROM (VALUES ('documents', 'table added', NULL), ('customer', 'table removed', NULL), ('orders', 'column added', 'note'), ('orders', 'column removed', 'o_orderstatus'), ('orders', 'type changed', 'o_custkey')) AS t(\"table\", change, \"column\")")
 def schema_diff(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     return W.schema_diff(spark, {"orders": o, "customer": c}, {"orders": o.drop("o_orderstatus").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("note", F.lit("")), "documents": table(spark, sf, "documents")})
