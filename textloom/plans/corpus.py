@@ -104,7 +104,7 @@ def similar_pairs(spark, sf):
     return S.similar_pairs(table(spark, sf, "documents"), 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("nearest_similarity", f"""WITH {PAIRS_SQL}, p AS (SELECT a, b, k / (na + nb - k) AS s FROM i WHERE k / (na + nb - k) >= 0.5), q AS (SELECT a, s FROM p UNION ALL SELECT b, s FROM p)
+@query("nearest_similarity", f"""WITH {PAIRS_SQL}, p AS (SELECT a, b, k / (na + nb - k) AS s FROM i), q AS (SELECT a, s FROM p UNION ALL SELECT b, s FROM p)
     SELECT doc_id AS id, round(coalesce(max(s), 0), 6) AS similarity, count(*) FILTER (WHERE s > 0.7) AS similar FROM documents LEFT JOIN q ON doc_id = a GROUP BY doc_id""")
 def nearest_similarity(spark, sf):
     return S.nearest(table(spark, sf, "documents")).withColumn("similarity", F.round("similarity", 6))
