@@ -271,56 +271,75 @@ class Tagger:
         return float((total - gold).mean()), [d_given, d_cell, d_out, d_bias, d_move, d_scores[:, 0].sum(0), d_scores[:, -1].sum(0)]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """What run() gives, as (time, tags, batch), and faster: gates lie apart, half of each sigmoid's tanh is in the weights, and each step writes where the one before did."""
+        """What run() gives, as (time, tags, batch), and faster: gates lie apart, every sigmoid and tanh is 1 / (1 + exp(z)) with its factors in the weights, and each step writes where the one before did."""
         n, t = x.shape
         h = self.cell.shape[1]
-        halves = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
-        apart = lambda w: np.ascontiguousarray(w.reshape(2, -1, 4, h).transpose(0, 2, 1, 3)) * halves
-        given, cell = apart(self.given).reshape(-1, h), apart(self.cell) * np.float32(0.5)  # a state is kept twice as large
-        rows = np.stack([x.T, x.T[::-1]], axis=1)[:, :, None, :] + (np.arange(8, dtype=np.intp) * CLASSES).reshape(2, 4, 1)
+        factors = np.array([-1, -1, -1, -2], np.float32)[:, None, None]
+        apart = lambda w: np.ascontiguousarray(w.reshape(2, -1, 4, h).transpose(0, 2, 1, 3)) * factors
+        given, cell = apart(self.given).reshape(-1, h), apart(self.cell) * np.float32(2)  # a state is kept half as large
+        first = (np.arange(8, dtype=np.intp) * CLASSES).reshape(2, 4, 1)
+        ahead = np.ascontiguousarray(x.T, np.intp)
+        rows = np.empty((2, 4, n), np.intp)
         z, input_ = np.empty((2, 4, n, h), np.float32), np.empty((2, 4, n, h), np.float32)
-        memory, part = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
+        memory, part = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)  # memory is kept times -2
         states = np.empty((t, 2, n, h), np.float32)
         i, f, o, g = (z[:, k] for k in range(4))
-        gates = z[:, :3]
-        for k in range(t):
-            given.take(rows[k], axis=0, out=input_, mode="clip")
-            if k:
-                np.matmul(states[k - 1][:, None], cell, out=z)
-                z += input_
-                np.tanh(z, out=z)
-            else:
-                np.tanh(input_, out=z)
-            gates += np.float32(1)
-            np.multiply(f, memory, out=memory)
-            np.multiply(i, g, out=part)
-            memory += part
-            memory *= np.float32(0.5)
-            np.tanh(memory, out=part)
-            np.multiply(o, part, out=states[k])
-        half = np.ascontiguousarray((self.out * np.float32(0.5)).T)
-        found = np.matmul(half[:, :h], states[:, 0].transpose(0, 2, 1))
-        found += np.matmul(half[:, h:], states[::-1, 1].transpose(0, 2, 1))
+        with np.errstate(over="ignore"):  # an infinite exp is a gate of 0
+            for k in range(t):
+                np.add(first[0], ahead[k], out=rows[0])
+                np.add(first[1], ahead[t - 1 - k], out=rows[1])
+                given.take(rows, axis=0, out=input_, mode="clip")
+                if k:
+                    np.matmul(states[k - 1][:, None], cell, out=z)
+                    z += input_
+                    np.exp(z, out=z)
+                else:
+                    np.exp(input_, out=z)
+                z += np.float32(1)
+                np.reciprocal(z, out=z)
+                g *= np.float32(-4)
+                g += np.float32(2)
+                memory *= f
+                np.multiply(i, g, out=part)
+                memory += part
+                np.exp(memory, out=part)
+                part += np.float32(1)
+                np.reciprocal(part, out=part)
+                part -= np.float32(0.5)
+                np.multiply(o, part, out=states[k])
+        twice = np.ascontiguousarray((self.out * np.float32(2)).T)
+        found = np.matmul(twice[:, :h], states[:, 0].transpose(0, 2, 1))
+        found += np.matmul(twice[:, h:], states[::-1, 1].transpose(0, 2, 1))
         found += self.bias[:, None]
         return found
 
     def best(self, x: np.ndarray) -> np.ndarray:
-        """The most likely tags of each row (Viterbi): the best scores forward, and the way back along the best path only."""
+        """The most likely tags of each row (Viterbi): the best scores forward, and the way back along the best path only, which is known already where none is best followed by none throughout."""
         at = self.scores(x)
         t, k, n = at.shape
         at[0] += self.first[:, None]
         top, one = np.empty((k, n), np.float32), np.empty((k, n), np.float32)
+        none, same, stay = np.ones(n, bool), np.empty(n, bool), np.empty(n, np.float32)
         for j in range(1, t):
             np.add(at[j - 1, 0], self.move[0][:, None], out=top)
+            stay[:] = top[0]
             for p in range(1, k):
                 np.add(at[j - 1, p], self.move[p][:, None], out=one)
                 np.maximum(top, one, out=top)
+            np.equal(stay, top[0], out=same)
+            none &= same
             at[j] += top
-        y = np.empty((t, n), np.int64)
-        y[-1] = (at[-1] + self.last[:, None]).argmax(0)
-        into = np.ascontiguousarray(self.move.T)
-        for j in range(t - 1, 0, -1):
-            y[j - 1] = (at[j - 1] + into[y[j]].T).argmax(0)
+        last = (at[-1] + self.last[:, None]).argmax(0)
+        y = np.zeros((t, n), np.int64)
+        left = np.flatnonzero(~none | (last > 0))
+        if len(left):
+            at = np.ascontiguousarray(at[:, :, left])
+            way = np.empty((t, len(left)), np.int64)
+            way[-1] = last[left]
+            into = np.ascontiguousarray(self.move.T)
+            for j in range(t - 1, 0, -1):
+                way[j - 1] = (at[j - 1] + into[way[j]].T).argmax(0)
+            y[:, left] = way
         return y.T
 
 
