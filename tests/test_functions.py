@@ -178,3 +178,13 @@ def test_filters(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "", "en", "s"), (3, None, "de", "t")], "doc_id long, text string, lang string, source string")
     assert [r.doc_id for r in filters.documents(docs, "en", words=(0, 0)).collect()] == [2]
     assert filters.documents(docs).count() == 3 and filters.long_enough(docs, 1).count() == 1
+
+
+def test_patterns_mean_what_they_mean_in_sql(spark):
+    import duckdb
+
+    from textloom.plans.annotation import METADATA_SQL
+
+    texts = ["Éby Thin Gsab then by Other Name", "x\x85by Jo Doe\u2028title: no line\nend", "# A\x0bhead line\nby\x0bJo Doe", "url:\thttps://a.b/\x0bc d", "link: x\r\nAuthor: Jo Doe\r\ndone", ""]
+    want = duckdb.sql(f"WITH documents AS (SELECT unnest(range({len(texts)})) AS doc_id, unnest($1) AS text) {METADATA_SQL} ORDER BY doc_id", params=[texts]).fetchall()
+    assert [tuple(m) for m in ask(spark, A.metadata, *texts)] == [r[1:] for r in want]

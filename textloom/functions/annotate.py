@@ -131,7 +131,7 @@ TITLE = (r"(?im)^title:\s*([^\n]{3,200})$", r"(?m)^#\s+([^\n]{3,200})$", r"^\s*(
 
 
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
-    found = [F.regexp_extract(text, p, 1) for p in patterns]
+    found = [F.regexp_extract(text, T.ascii_pattern(p), 1) for p in patterns]
     return F.trim(F.coalesce(*(F.when(x != "", x) for x in found)))
 
 
