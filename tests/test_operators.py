@@ -37,6 +37,30 @@ def test_similar_pairs_against_brute_force(spark, threshold):
     assert got == want
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_DOCS", 17)  # several blocks a task
+    docs = [*corpus(), (3, "w1 w2"), (None, "w1 w2 w3")]  # another's id, none
+    sets = [(i, set(t.lower().split())) for i, t in docs]
+    want = {}
+    for i, p in sets:
+        s = [len(p & q) / len(p | q) for j, q in sets if p and q and None not in (i, j) and i != j]
+        old = want.get(i, (0.0, 0))
+        want[i] = (max([old[0], *s]), old[1] + sum(x > 0.7 for x in s))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.id: (r.similarity, r.similar) for r in S.nearest(df).collect()} == want
+    asked = {r.id: (r.similarity, r.similar) for r in S.nearest(df, probes=df.where("doc_id % 5 = 0")).collect()}
+    assert asked == {k: v for k, v in want.items() if k is not None and k % 5 == 0}
+
+
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(S, "AT_ONCE", 50)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = S.similar_pairs(docs, 0.4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert found.count() == S.similar_pairs(docs.repartition(5), 0.4).count() > 0
+
+
 def test_staged_deduplication(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     n = len(corpus())
