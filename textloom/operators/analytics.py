@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
+from textloom.operators.lineage import cut
 
 
 def vowels(word: Column) -> Column:
@@ -90,14 +91,30 @@ def topic_count(n: int) -> int:
 
 def topic_words(docs: DataFrame, topics: int = 5, words: int = 5, text_col: str = "text") -> DataFrame:
     """(topic, word, n): the words that documents hold twice or more, most frequent first, dealt out in slices."""
-    row = F.monotonically_increasing_id().alias("row")
-    w = docs.select(row, F.filter(T.tokens(F.col(text_col)), lambda w: F.length(w).between(3, 50) & ~w.isin(*L.TOPIC_STOPWORDS)).alias("w")).select("row", F.explode("w").alias("word"))
-    n = w.groupBy("row", "word").agg(F.count("*").alias("c")).where("c >= 2").groupBy("word").agg(F.sum("c").alias("n"))
+    valid = F.filter(T.tokens(F.col(text_col)), lambda w: F.length(w).between(3, 50) & ~w.isin(*L.TOPIC_STOPWORDS))
+    counts = docs.select(F.explode(F.filter(T.word_counts(valid), lambda x: x["n"] >= 2)).alias("x")).select("x.*")  # within the document, so only words meet in the aggregation
+    n = counts.groupBy("word").agg(F.sum("n").alias("n"))
     best = n.orderBy(F.desc("n"), "word").limit(topics * words)
     k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word"))  # topics * words rows
     return best.select(F.floor((k - 1) / words).alias("topic"), "word", "n")
 
 
+def frequent_words(docs: DataFrame, least: int = 2, most: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, word, n) of the words that a document has least times or more and at most as that share of its words; rows of one id are one document.
+
+    Words are counted within the row; only those of ids with several rows, if there are any, meet in a shuffle.
+    """
+    kept = lambda n, total: (n >= least) & (n <= most * total)
+    ids = cut(docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    several, match = not ids.isEmpty(), docs[id_col].eqNullSafe(ids["_id"])
+    words = (docs.join(ids, match, "left_anti") if several else docs).select(id_col, T.tokens(F.col(text_col)).alias("w"))
+    one = words.select(id_col, F.size("w").alias("total"), F.explode(T.word_counts(F.col("w"))).alias("x")).where(kept(F.col("x.n"), F.col("total"))).select(id_col, "x.word", "x.n")
+    if not several:
+        return one
+    rest = docs.join(ids, match, "left_semi").select(id_col, F.explode(T.tokens(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    return one.union(rest.withColumn("total", F.sum("n").over(Window.partitionBy(id_col))).where(kept(F.col("n"), F.col("total"))).drop("total"))
+
+
 def topics_lda(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, iterations: int = 20, vocabulary_size: int = 1000, seed: int = 42) -> DataFrame:
     """(id, topic weights): CountVectorizer (words in 2 documents or more and 80 % at most), then LDA."""
     from pyspark.ml.clustering import LDA
