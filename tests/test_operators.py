@@ -201,3 +201,42 @@ def test_fill_against_a_loop(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
         assert got == want, tasks
+
+
+def test_trailing_sums_run_on(spark):
+    rows = [(k, "ab"[k % 3 == 0], None if k % 7 == 0 else k * 60 + k % 5, None if k % 11 == 0 else float(k * 37 % 101)) for k in range(400)] + [(1000, "a", 6000, 1.0), (1001, "a", 6000, 2.0)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, s long, value double").select("event_id", "event_type", F.timestamp_seconds("s").alias("ts"), "value")
+    got = ST.trailing(df)
+    for r in got.collect():
+        _, kind, at, _ = next(x for x in rows if x[0] == r.event_id)
+        own = [v for _, k, s, v in rows if k == kind and (s is None if at is None else s is not None and at - 3600 <= s <= at)]
+        v = [x for x in own if x is not None]
+        assert (r.n, r.least, r.most, r["mean"]) == (len(own), min(v), max(v), pytest.approx(sum(v) / len(v), abs=1e-6))
+    assert got.count() == len(rows)
+    assert "-3600000000" not in got._jdf.queryExecution().executedPlan().toString()  # no frame that is read again for each row
+
+
+def test_words_are_counted_within_a_document(spark):
+    from textloom.operators import analytics
+
+    docs = spark.createDataFrame([(1, "bb aa bb cc " + "zz yy xx ww vv uu " * 3), (1, "cc"), (2, "aa aa bb"), (None, "dd dd"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.word, r.n) for r in analytics.frequent_words(docs, 2, 0.5).collect()}
+    assert got == {(1, "bb", 2), (1, "cc", 2), *((1, w, 3) for w in ("zz", "yy", "xx", "ww", "vv", "uu"))}
+    plan = analytics.topic_words(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and [tuple(r) for r in analytics.topic_words(spark.createDataFrame([("cat dog cat cat dog owl",), ("dog dog",), ("cat",)], "text string"), 1, 2).collect()] == [(0, "dog", 4), (0, "cat", 3)]
+
+
+def test_bounds_without_gathering_values(spark, tmp_path):
+    from textloom.plans import relational
+
+    rows = [("A", k % 50, float(k)) for k in range(1000)] + [("B", 1, 5.0), ("C", 2, 1.0), ("C", 3, 2.0), ("C", None, None), ("N", 1, 1.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = relational.agg_approximate_bounds(spark, str(tmp_path))
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for flag in "ABCN":
+        v = sorted(p for f, _, p in rows if f == flag and p is not None)
+        q = lambda s, v=v: v[int(s * (len(v) - 1))] + (s * (len(v) - 1) % 1) * (v[min(int(s * (len(v) - 1)) + 1, len(v) - 1)] - v[int(s * (len(v) - 1))])
+        est = [v[max(0, -(-round(s * len(v) * 10) // 10) - 1)] for s in (0.1, 0.5, 0.9)]
+        want[flag] = all(q(lo) <= x <= q(hi) for x, (lo, hi) in zip(est, ((0.09, 0.11), (0.49, 0.51), (0.89, 0.91)), strict=True))
+    assert {r.l_returnflag: (r.parts, r.prices) for r in got.collect()} == {k: (True, v) for k, v in want.items()}
