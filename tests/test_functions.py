@@ -193,3 +193,24 @@ def test_patterns_mean_what_they_mean_in_sql(spark):
 def test_html_title_as_sql_has_it(spark):
     pages = ["<title>a &lt;b&gt;\n &amp;amp; c&&amp</title>", "<TITLE> </TITLE><h1>Head</h1>", "<title>one</title><title>two</title>", "<h1>x</h1>", None]
     assert ask(spark, markup.html_title, *pages) == ["a <b> &amp; c&&amp", "Untitled Document", "one", "Untitled Document", "Untitled Document"]
+
+
+def test_arrow_functions_take_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from textloom.operators.lineage import sliced
+
+    made = []
+    make = lambda part: made.append(part.num_rows) or part
+    small, long = (pa.RecordBatch.from_pydict({"text": [x] * 300}) for x in ("a", "a" * 500_000))
+    assert sum(b.num_rows for b in sliced(make)([small, long])) == 600 and max(made) <= 64 and made[-1] <= 2
+
+
+def test_segments_and_pages_keep_rows(spark):
+    texts = spark.createDataFrame([(k, None if k % 9 == 0 else "" if k % 9 == 1 else f"Q: what {k}? A: this" if k % 2 else f"plain {k}") for k in range(500)], "doc_id int, text string").coalesce(1)
+    rows = S.training_segments(texts).collect()
+    assert {r.doc_id for r in rows} == {k for k in range(500) if k % 9 > 1}
+    assert all((r.kind, r.output) == (("qa", "this") if r.doc_id % 2 else ("completion", f"plain {r.doc_id}")) for r in rows)
+    pages = markup.pages(texts.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<p>"), "text", F.lit("<table><tr><td>x</table><img src=a>")).alias("html")))
+    got = {r.page_id: r for r in pages.collect()}
+    assert len(got) == 500 and got[9].lists is None and got[2].tables == [[["x"]]] and got[2].images[0].asDict() == {"src": "a", "alt": ""} and got[2].paragraphs == 1

@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.text import let
+from textloom.operators.lineage import sliced
 
 #: (kind, pattern of named parts, priority): the higher comes first; all that match contribute.
 RULES: list[tuple[str, str, int]] = [
@@ -89,13 +91,14 @@ def training_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         at = ends[len(ends) // 2] if ends else len(text) // 2
         return [("completion", text[:at], "", text[at:])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, *s) for i, t in f.itertuples(index=False) if t for s in of(t)]
-            yield pd.DataFrame(rows, columns=["id", "kind", "instruction", "input", "output"])
+    names = ["kind", "instruction", "input", "output"]
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(k, s) for k, t in enumerate(part["text"].to_pylist()) if t for s in of(t)]
+        return pa.RecordBatch.from_arrays([part["id"].take(pa.array([k for k, _ in rows], pa.int64())), *(pa.array([s[c] for _, s in rows], pa.string()) for c in range(4))], ["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sliced(make), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def split(key: Column, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: str = "split") -> Column:
