@@ -1,6 +1,7 @@
 """Duplicates, graphs, warehouse and streams against brute force."""
 
 import random
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
@@ -61,6 +62,35 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert found.count() == S.similar_pairs(docs.repartition(5), 0.4).count() > 0
 
 
+def test_ratio_is_that_of_difflib(monkeypatch):
+    rng = random.Random(5)
+    for places in (S.PLACES, 10):  # the latter by difflib's own search
+        monkeypatch.setattr(S, "PLACES", places)
+        for k in range(150):
+            letters, n = rng.choice(["ab", "abcdefgh", "etaoinshrdlucmfwypvbgkqjxz      ", "aé漢ß😀 "]), rng.choice([1, 30, 199, 200, 450])
+            a = "".join(rng.choices(letters, k=n))
+            b = "".join(c if rng.random() > k / 300 else rng.choice(letters) * rng.randrange(3) for c in a)
+            b = b[n // 2 :] + b[: n // 2] if k % 5 == 0 else b
+            want = SequenceMatcher(None, a, b).ratio()
+            assert [S._ratio(a, b, least) for least in (0.0, 0.5, 0.85)] == [want * (want >= least) for least in (0.0, 0.5, 0.85)]
+    assert S._ratio("", "", 0.5) == 1.0 and S._ratio("", "a", 0.0) == 0.0
+
+
+def test_near_pairs_are_verified_where_they_are_found(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_DOCS", 17)
+    docs = [(i, t) for i, t in corpus() if len(t) >= 50]
+    sets = {i: set(t.lower().split()) for i, t in docs}
+    key = {i: t.lower().replace("!", "") for i, t in docs}
+    want = {}
+    for a, b in combinations(sorted(sets), 2):
+        s, r = len(sets[a] & sets[b]) / len(sets[a] | sets[b]), SequenceMatcher(None, key[a], key[b]).ratio()
+        if s >= 0.5 and r >= 0.85 or s >= 0.8:
+            want[a, b] = s, r * (r >= 0.85)
+    found = S.near_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), fuzzy=0.8)
+    assert {(r.a, r.b): (r.similarity, r.ratio) for r in found.collect()} == want and len(want) > 10
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # no text is moved for a pair
+
+
 def test_staged_deduplication(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     n = len(corpus())
