@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import analytics as A
 from textloom.operators import graph as G
 from textloom.operators import relational as R
 from textloom.operators import similarity as S
@@ -115,6 +116,24 @@ def test_quality_report_of_a_corpus_with_copies(spark, tmp_path):
     assert {(r.severity, r.n) for r in quality.quality_issues(spark, str(tmp_path)).collect() if r.type == "uniqueness"} == {("high", 2)}
 
 
+def test_lda_counts_words_in_shuffle_partitions(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    seen = []
+    fit = LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    texts = [(i, " ".join(f"{'abcde'[k % 5]}{'xyz'[k % 3]}word{'lmn'[(i + k) % 3]}" for k in range(i % 17 + 3))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).cache()
+    got = A.topics_lda(docs, k=2, iterations=2)
+    assert got.count() == len(texts) and all(abs(sum(r.weights) - 1) < 1e-4 for r in got.collect())
+    assert "RDD" in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].columns == ["id", "features"]  # the counts, not the texts
+    words = docs.select("doc_id", F.split("text", " ").alias("w"))
+    want = CountVectorizer(inputCol="w", outputCol="f", vocabSize=1000, minDF=2.0, maxDF=0.8).fit(words).transform(words)
+    sums = lambda df, c: sorted((r[0], sorted(r[1].values.tolist())) for r in df.select(*c).collect())
+    assert sums(seen[0], ("id", "features")) == sums(want, ("doc_id", "f"))
+
+
 def test_graphs(spark):
     edges = [(1, 2), (2, 3), (5, 6), (9, 9)]
     got = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}

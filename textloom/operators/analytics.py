@@ -116,12 +116,19 @@ def frequent_words(docs: DataFrame, least: int = 2, most: float = 0.1, id_col: s
 
 
 def topics_lda(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, iterations: int = 20, vocabulary_size: int = 1000, seed: int = 42) -> DataFrame:
-    """(id, topic weights): CountVectorizer (words in 2 documents or more and 80 % at most), then LDA."""
+    """(id, topic weights): the most frequent words of those in 2 documents or more and 80 % at most, counted by document, then LDA.
+
+    The words are counted within the document and then in an aggregation over shuffle partitions; CountVectorizer would keep all
+    tokens and shuffle its words into as many tasks as the input has. LDA reads the counts once a round, not the texts.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
     words = docs.select(F.col(id_col).alias("id"), F.filter(T.tokens(F.col(text_col)), lambda w: F.length(w).between(3, 50) & ~w.isin(*L.TOPIC_STOPWORDS)).alias("w"))
-    counted = CountVectorizer(inputCol="w", outputCol="features", vocabSize=vocabulary_size, minDF=2.0, maxDF=0.8).fit(words).transform(words)
+    sums = words.select(F.explode(T.word_counts(F.col("w"))).alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n"), F.count("*").alias("df"))
+    best = sums.where(F.col("df").between(2, 0.8 * docs.count())).orderBy(F.desc("n"), "word").limit(vocabulary_size)
+    vectors = CountVectorizerModel.from_vocabulary([r.word for r in best.select("word").collect()], inputCol="w", outputCol="features")
+    counted = cut(vectors.transform(words).select("id", "features"))
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counted)
     return model.transform(counted).select(F.col("id").alias(id_col), F.transform(vector_to_array("topicDistribution"), lambda x: F.round(x, 6)).alias("weights"))
