@@ -102,6 +102,13 @@ def test_staged_deduplication(spark):
     assert {r.kind for r in S.statistics(S.deduplicate(docs)).collect()} >= {"exact"}
 
 
+def test_staged_statistics_pack_the_texts_once(spark, monkeypatch):
+    packed, blocks = [], S._blocks
+    monkeypatch.setattr(S, "_blocks", lambda *args: packed.append(args) or blocks(*args))
+    got = {r.kind: r.removed for r in S.statistics(S.deduplicate(spark.createDataFrame(corpus(), "doc_id long, text string"))).collect()}
+    assert len(packed) == 1 and got["exact"] >= 2
+
+
 def test_quality_report_of_a_corpus_with_copies(spark, tmp_path):
     from textloom.plans import quality
 
