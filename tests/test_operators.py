@@ -109,6 +109,37 @@ def test_staged_statistics_pack_the_texts_once(spark, monkeypatch):
     assert len(packed) == 1 and got["exact"] >= 2
 
 
+def test_staged_texts_are_not_shuffled_to_leave_out_copies(spark, monkeypatch):
+    plans, blocks = [], S._blocks
+    monkeypatch.setattr(S, "_blocks", lambda docs, *args: plans.append(docs._jdf.queryExecution().executedPlan().toString()) or blocks(docs, *args))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+        got = S.deduplicate(docs).collect()
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+        monkeypatch.setattr(S, "SENT_IDS", 1)  # too many to send
+        assert sorted(S.deduplicate(docs).collect()) == sorted(got) and "SortMergeJoin" in plans[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_hold_each_word_once(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.sample([f"w{k}" for k in range(500)], 200))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    frequent = S._frequent(df, "text")
+    for often in (None, frequent):
+        (data,) = [bytes(r.data) for r in S._blocks(df, "doc_id", "text", often).collect()]
+        assert len(data) < 2 * 200 * 200  # bytes a word: 8 before
+        block = S._Block(data)
+        want = {r.doc_id: r.h for r in df.select("doc_id", S._hashes(F.col("text")).alias("h")).collect()}
+        for k, i in enumerate(block.ids.to_pylist()):
+            words = block.words[block.off[k] : block.off[k + 1]]
+            keys = list(zip(S._often(words, often).tolist(), words.tolist(), strict=True))
+            assert keys == sorted(keys) and sorted(words.tolist()) == sorted(want[i])
+
+
 def test_quality_report_of_a_corpus_with_copies(spark, tmp_path):
     from textloom.plans import quality
 
@@ -141,6 +172,13 @@ def test_lda_counts_words_in_shuffle_partitions(spark, monkeypatch):
     assert sums(seen[0], ("id", "features")) == sums(want, ("doc_id", "f"))
 
 
+def test_a_forest_has_few_edges_of_a_family(spark):
+    family = [(a, b) for a, b in combinations(range(40), 2)] + [(9, 9), (50, 50), (60, 61), (61, 60)]
+    kept = G.forest(spark.createDataFrame(family, "a long, b long").coalesce(1))
+    assert kept.count() == 39 + 1 + 1  # a family of n has n * (n - 1) / 2 pairs; components needs fewer than n of them
+    assert {r.node: r.root for r in G.components(kept).collect()} == dict.fromkeys(range(40), 0) | {50: 50, 60: 60, 61: 60}
+
+
 def test_graphs(spark):
     edges = [(1, 2), (2, 3), (5, 6), (9, 9)]
     got = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}
