@@ -124,6 +124,25 @@ def test_staged_texts_are_not_shuffled_to_leave_out_copies(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_near_pairs_take_two_blocks_at_once(spark, monkeypatch):
+    def one_row(batches):
+        for batch in batches:
+            assert len(batch) == 1
+            yield batch
+
+    each = S._each
+    monkeypatch.setattr(S, "BLOCK_DOCS", 17)  # several blocks a task
+    monkeypatch.setattr(S, "_each", lambda *args: (lambda run: lambda batches: run(one_row(batches)))(each(*args)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 8)
+    try:
+        assert S.near_pairs(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(2)).count() > 10
+        assert spark.conf.get(key) == "8"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_blocks_hold_each_word_once(spark):
     rng = random.Random(2)
     docs = [(i, " ".join(rng.sample([f"w{k}" for k in range(500)], 200))) for i in range(200)]
